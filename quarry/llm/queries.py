@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules, sharding
+from quarry.llm import quality_rules, sentencepieces, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.query,
+    "op6_sentencepiece": sentencepieces.query,
     "op8_quality_rules": quality_rules.query,
 }
 
