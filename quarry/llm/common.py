@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.kept import shared_dir, written
+
+__all__ = ["SPACES", "WORD", "bound", "documents", "removed", "shared_dir", "table", "written"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that end a word.
@@ -22,26 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Only where it is unset (a single machine, as in tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def removed(text: Column, characters: str) -> Column:
     """text without any of the characters (one pass each, no pattern)."""
     for c in characters:
@@ -52,18 +33,3 @@ def removed(text: Column, characters: str) -> Column:
 def bound(value: Column, use) -> Column:
     """use(value), with value computed once for a row although use may name it many times or inside a lambda."""
     return F.transform(F.array(value), lambda x: use(x))[0]
-
-
-def row_numbers(df: DataFrame, order: list[str], bucket: Column, out: str) -> DataFrame:
-    """Adds `out`, the position (from 0) of each row in the order of (bucket, order...).
-
-    `bucket` is a non-decreasing function of the order, so that the rows of a bucket are numbered by themselves and only
-    the counts by bucket meet: no task ever sees more rows than a bucket has.
-    """
-    from pyspark.sql import Window
-
-    df = df.withColumn("_b", bucket)
-    counts = df.groupBy("_b").agg(F.count("*").alias("_n"))
-    starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_s"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
-    return df.withColumn("_r", inside).join(starts, "_b").withColumn(out, F.col("_r") + F.col("_s")).drop("_b", "_r", "_s")

@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -267,7 +268,7 @@ def loaded(model: bytes) -> Pieces:
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Where each slice of about AT_ONCE characters starts, and its texts."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         done = sizes[start - 1] if start else 0
