@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_rules, sentencepieces, sharding
+from quarry.llm import ngram_join, packing, quality_rules, secrets, sentencepieces, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": ngram_join.query,
+    "op4_packing": packing.query,
     "op5_sharding": sharding.query,
     "op6_sentencepiece": sentencepieces.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_secrets": secrets.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -20,15 +20,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quarry.llm.batches import slices
+
 MARK = "▁"
 NONE = np.int64(1 << 40)
 #: Longer chunks are merged by a queue instead of rounds: both give the same pieces.
 LONG = 4096
-#: Chunks that a worker remembers, and characters of text that it encodes at once.
-REMEMBERED, AT_ONCE = 200_000, 2_000_000
+#: Chunks that a worker remembers.
+REMEMBERED = 200_000
 
 
 class Pieces:
@@ -266,17 +267,6 @@ def loaded(model: bytes) -> Pieces:
     return _loaded[key]
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """Where each slice of about AT_ONCE characters starts, and its texts."""
-    sizes = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(texts):
-        done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + AT_ONCE, side="right")))
-        yield start, texts.slice(start, stop - start).to_pylist()
-        start = stop
-
-
 def coded(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", digests: bool = True) -> DataFrame:
     """Encodes and decodes every text. With digests: key, n_tokens, ids_sha256, decoded_sha256; without: key, ids, decoded."""
     with open(model_path, "rb") as f:
@@ -289,7 +279,7 @@ def coded(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "te
         for batch in batches:
             keys = batch.column(0)
             for start, texts in slices(batch.column(1)):
-                spelt = pieces.encode(texts, end=True)
+                spelt = pieces.encode(texts.to_pylist(), end=True)
                 ids = [np.array(s.split(" "), dtype=np.int32) for s in spelt]
                 back = [pieces.decode(x) for x in ids]
                 if digests:
