@@ -117,10 +117,10 @@ def compiled(rules: Iterable[Rule]) -> list[tuple[str, Callable[[dict[str, Colum
 def judged(docs: DataFrame, text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
     """docs with the measures, `failed` (names of the rules that do not hold) and `kept` (none failed)."""
     m = measures(F.col(text))
-    out = docs.withColumn("_m", F.struct(*[c.alias(n) for n, c in m.items()]))
-    got = {n: F.col("_m")[n] for n in m}
+    out = docs.withColumn("__q_m", F.struct(*[c.alias(n) for n, c in m.items()]))
+    got = {n: F.col("__q_m")[n] for n in m}
     failed = F.array_compact(F.array(*[F.when(~hold(got), F.lit(name)) for name, hold in compiled(rules)]))
-    return out.withColumns({**got, "failed": failed}).withColumn("kept", F.size("failed") == 0).drop("_m")
+    return out.withColumns({**got, "failed": failed}).withColumn("kept", F.size("failed") == 0).drop("__q_m")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
