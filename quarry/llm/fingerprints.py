@@ -133,32 +133,32 @@ def fingerprint(ds: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """(d, h, nd, nh): each document, named by id and text hash, and the next one in descending order; after the last the first.
+    """(u, nu): each document, named by u, and the next one in descending order of d; after the last comes the first.
 
-    The distinct ids are dealt out by range and numbered within; only the ends of the ranges meet.
+    ids: d, and u that names the document and settles ties. The distinct ids are dealt out by range and numbered within;
+    only the ends of the ranges meet.
     """
-    order = [F.col("d").desc_nulls_last(), F.col("h")]
-    dealt = ids.select("d", "h").distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "followers")
-    ends = dealt.groupBy("part").agg(F.min_by(F.struct("d", "h"), F.struct(-F.coalesce("d", F.lit(-(2**62))), "h")).alias("one"))
+    order = [F.col("d").desc_nulls_last(), F.col("u")]
+    dealt = written(ids.select("d", "u").distinct().repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "followers")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    inside = dealt.withColumns({"_in": F.lead("u").over(Window.partitionBy("part").orderBy(*order)), "_r": rank})
     whole = Window.orderBy("part")  # a row for each range
-    ends = ends.select("part", F.coalesce(F.lead("one").over(whole), F.first("one").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("then"))
-    inside = F.lead(F.struct("d", "h")).over(Window.partitionBy("part").orderBy(*order))
-    out = dealt.withColumn("_in", inside).join(F.broadcast(ends), "part").withColumn("_next", F.coalesce("_in", "then"))
-    return out.select("d", "h", F.col("_next.d").alias("nd"), F.col("_next.h").alias("nh"))
+    first = F.first("one").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = inside.filter("_r = 1").select("part", F.col("u").alias("one")).select("part", F.coalesce(F.lead("one").over(whole), first).alias("then"))
+    return inside.join(ends, "part").select("u", F.coalesce("_in", "then").alias("nu"))
 
 
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text (the last third replaced by the start of the next document) and the next one."""
-    rows = docs.select(F.col(key).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    chain = followers(rows)
-    sizes = rows.select("d", "h", F.floor(F.length("t") / 3).cast("int").alias("k"))
-    asked = chain.join(sizes.distinct(), (chain["d"].eqNullSafe(sizes["d"])) & (chain["h"] == sizes["h"])).select(chain["d"].alias("ad"), chain["h"].alias("ah"), "nd", "nh", "k")
-    once = rows.select("d", "h", "t")
-    # The same exchange of texts serves both joins; between them only the starts move.
-    given = once.join(asked, (F.col("h") == F.col("nh")) & F.col("d").eqNullSafe(F.col("nd"))).dropDuplicates(["ad", "ah"])
-    given = given.select("ad", "ah", F.substring("t", F.lit(1), F.col("k")).alias("head"), digests(F.col("t")).alias("next_ds"), "k")
-    both = once.join(given, (F.col("h") == F.col("ah")) & F.col("d").eqNullSafe(F.col("ad")))
+    rows = docs.select(F.col(key).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    named = F.concat(F.when(F.col("d").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("d").cast("string"))), F.lit(":"), F.xxhash64("t").cast("string"))
+    rows = rows.withColumn("u", named)
+    sizes = rows.select("u", F.floor(F.length("t") / 3).cast("int").alias("k")).distinct()
+    asked = followers(rows).join(sizes, "u").select(F.col("u").alias("a"), F.col("nu").alias("u"), "k")
+    # The same exchange of the texts by name serves both joins; between them only starts and digests move.
+    given = rows.join(asked, "u").select(F.col("a").alias("u"), F.substring("t", F.lit(1), F.col("k")).alias("head"), digests(F.col("t")).alias("next_ds"), "k")
+    given = given.groupBy("u").agg(*[F.first(c).alias(c) for c in ("head", "next_ds", "k")])  # repeated rows give the same
+    both = rows.join(given, "u")
     edited = F.concat(F.substring("t", F.lit(1), F.length("t") - F.col("k")), F.col("head"))
     both = both.select("d", F.length("t").cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("t")).alias("ds"), "next_ds").withColumn("edited_ds", digests(F.col("edited")))
     return both.select(
