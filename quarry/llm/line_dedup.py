@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bound, written
 
-MIN_WORDS = 30
+#: A passage of over 50 words in the midst of a line loses its first sentence to what stands before it there; the rest of it
+#: has to be enough.
+MIN_WORDS = 20
 #: Marks the cuts; texts that have it are cut by a pattern instead.
 CUT = "\x01"
 ENDS = ("\n", ". ", "! ", "? ")
