@@ -25,9 +25,9 @@ from quarry.llm.batches import flat, slices
 from quarry.llm.wordhash import LETTERS, LOWER, hashes, prefixes, words
 
 #: Labelled rows of each label that the models are fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 2500
 #: Voters, features of the classifier, and sizes of the word beginnings.
-VOTERS, FEATURES, SHORTEST, LONGEST = 160, 3000, 4, 8
+VOTERS, FEATURES, SHORTEST, LONGEST = 160, 2000, 4, 8
 # Insults of public word lists; each starts with this weight in the classifier.
 LEXICON, LISTED = "idiot moron stupid trash scum clown loser worthless disgusting pathetic".split(), 3.0
 #: How often the label model takes an annotator to be right, to begin with.
@@ -140,45 +140,67 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray
     return w, b
 
 
+def _all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    pairs = list(features(texts))
+    return np.concatenate([t for t, _ in pairs]), np.concatenate([h for _, h in pairs])
+
+
+def _once(text: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The features of all texts, each once for a text."""
+    by = np.lexsort((h, text))
+    text, h = text[by], h[by]
+    return h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]] if len(h) else h
+
+
+def _found(texts: pa.Array, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By slice: where it starts, and (text number, place in the sorted keys) of the keys that occur, each once for a text."""
+    for start, part in slices(texts, 200_000):
+        text, h = _all(part)
+        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+        hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+        once = np.unique(text[hit] * len(keys) + at[hit])
+        yield start, once // max(len(keys), 1), once % max(len(keys), 1)
+
+
 def fitted(texts: list[str | None], labels: np.ndarray, prior: float) -> Model:
     """Voters, label model and classifier from labelled texts; prior: share of the toxic among labelled rows."""
     labels = np.asarray(labels, dtype=bool)
+    public = np.unique(np.concatenate([next(features(pa.array([w], pa.large_string())))[1] for w in LEXICON]))  # the whole words
+    if not len(texts) or labels.all() or not labels.any():  # the public list alone
+        return Model(public, np.full(len(public), LISTED), -LISTED / 2)
     arr = pa.array([x or "" for x in texts], pa.large_string())
-    pairs_t, pairs_h = [], []
-    for t, h in features(arr):
-        pairs_t.append(t)
-        pairs_h.append(h)
-    if not len(texts) or labels.all() or not labels.any():
-        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))))
-    text, h = np.concatenate(pairs_t), np.concatenate(pairs_h)
-    keys, at = np.unique(h, return_inverse=True)
-    once = np.unique(text * len(keys) + at)
-    text, at = once // len(keys), once % len(keys)
-    toxic, clean = (np.bincount(at[labels[text] == k], minlength=len(keys)) for k in (True, False))
-    n1, n0 = labels.sum(), (~labels).sum()
+    n1, n0 = int(labels.sum()), int((~labels).sum())
+    least = 3 if n1 >= 60 else 2
+    # Features of enough toxic texts first; the clean ones are then counted for those alone.
+    held = [_once(t, h) for _, part in slices(arr.filter(pa.array(labels)), 200_000) for t, h in [_all(part)]]
+    keys, toxic = np.unique(np.concatenate(held), return_counts=True)
+    enough = (toxic >= least) | np.isin(keys, public)
+    keys, toxic = keys[enough], toxic[enough]
+    del held
+    clean = np.zeros(len(keys), dtype=np.int64)
+    for start, text, at in _found(arr.filter(pa.array(~labels)), keys):
+        clean += np.bincount(at, minlength=len(keys))
     rate1, rate0 = (toxic + 0.1) / (n1 + 1), (clean + 0.1) / (n0 + 1)
     lift = np.log(rate1 / rate0)
-    public = np.concatenate([next(features(pa.array([w], pa.large_string())))[1] for w in LEXICON])  # the whole words
     listed = np.isin(keys, public)
-    # What stands out: three toxic texts at least, and few clean ones for as many; the worth is the evidence it brings.
-    least = 3 if n1 >= 60 else 2
-    worth = np.where(((toxic >= least) & (lift > 1.5)) | listed, np.maximum(toxic * lift, 1e-3), 0)
+    # What stands out: the worth is the evidence that a feature brings over all texts.
+    worth = np.where((lift > 1.5) | listed, np.maximum(toxic * lift, 1e-3), 0)
     chosen = np.argsort(-worth, kind="stable")[:FEATURES]
     chosen = np.sort(chosen[worth[chosen] > 0])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    inside = place[at] >= 0
     x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    x[text[inside], place[at[inside]]] = 1
+    for start, text, at in _found(arr, keys[chosen]):
+        x[start + text, at] = 1
     # Voters: by worth, one of those that fire on the same texts, together with the public list's words and the patterns.
     order = np.argsort(-(worth[chosen] + 1e6 * listed[chosen]), kind="stable")
     seen, voters = set(), []
     for k in order:
+        if len(voters) == VOTERS:
+            break
         sign = x[:, k].tobytes()
-        if sign not in seen and len(voters) < VOTERS:
+        if sign not in seen:
             seen.add(sign)
             voters.append(k)
-    votes = np.concatenate([x[:, voters] > 0, shapes(arr)], axis=1)
+    votes = np.concatenate([x[:, voters] > 0, np.concatenate([shapes(part) for _, part in slices(arr, 200_000)])], axis=1)
     useful = votes[:, len(voters) :]
     keep = np.r_[np.ones(len(voters), bool), np.array([(useful[labels, k].mean() > 3 * useful[~labels, k].mean()) for k in range(useful.shape[1])], dtype=bool)]
     posterior, _, _ = label_model(votes[:, keep], labels, n1 / len(labels))
