@@ -322,3 +322,24 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     out = joined(documents(spark, sf_dir), width=3, similarity=0.9)
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def oracle_sql(width: int = 3, hundredths: int = 90) -> str:
+    """All pairs that share a shingle, counted; components by reachability."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    gram = " || chr(10) || ".join(["word", *[f"lead(word, {k}) OVER p" for k in range(1, width)]])
+    return f"""
+WITH RECURSIVE s AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM s WHERE len(ws) >= {width}),
+g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, {gram} AS gram FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL
+      UNION SELECT doc_id, array_to_string(ws, chr(10)) FROM s WHERE len(ws) BETWEEN 1 AND {width - 1}),
+n AS (SELECT doc_id, COUNT(*) AS n, md5(string_agg(gram, chr(11) ORDER BY gram)) AS whole FROM g GROUP BY doc_id),
+c AS (SELECT whole, MIN(doc_id) AS class_id FROM n GROUP BY whole),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {hundredths} * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT s.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, coalesce(c.class_id, s.doc_id) AS class_id
+FROM s JOIN (SELECT doc_id, MIN(reached) AS component_id FROM r GROUP BY doc_id) AS m ON m.doc_id = s.doc_id
+LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN c ON c.whole = n.whole
+"""

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.oracle_sql(),
     "op7_line_dedup": line_dedup.oracle_sql(),
     "op8_quality_rules": quality_rules.oracle_sql(),
 }
