@@ -26,6 +26,8 @@ from quarry.llm.common import bound, written
 MIN_WORDS = 20
 #: Marks the cuts; texts that have it are cut by a pattern instead.
 CUT = "\x01"
+#: Windows that are broadcast (50 bytes each).
+HOT = 1000
 ENDS = ("\n", ". ", "! ", "? ")
 BLANK = " \t\n\r"
 
@@ -94,6 +96,15 @@ def _runs(windows: Column) -> Column:
     return bound(windows, lambda w: F.when(F.size(w) > 0, of(w)))
 
 
+def _matched(spans: DataFrame, firsts: DataFrame) -> DataFrame:
+    """spans with the first occurrence of each. The HOT most frequent windows are broadcast, so that no task gets all rows of one
+    of them; any other window has less than 1 / HOT of the rows."""
+    on = ["f", "h"]
+    hot = F.broadcast(firsts.orderBy(F.desc("_c"), *on).limit(HOT).drop("_c"))
+    cold = spans.join(hot, on, "left_anti").join(firsts.drop("_c").join(hot, on, "left_anti"), on)
+    return spans.join(hot, on).unionByName(cold)
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """key and gone: the disjoint runs (start, end) of units to delete, in order."""
     some = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("d"), F.col(text).alias("t"))
@@ -102,8 +113,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     again = F.max(F.size(F.array_distinct(F.transform("ws", lambda x: x["h"]))) < F.size("ws"))
     common = runs.groupBy("f").agg(F.count("*").alias("_c"), again.alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f")
     spans = written(runs.join(common, "f").select("f", "d", F.explode("ws").alias("w")).select("f", "d", "w.h", "w.p", "w.n"), "spans")
-    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("d", "p", "n")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    later = spans.join(firsts, ["f", "h"]).filter((F.col("d") != F.col("_one.d")) | (F.col("p") != F.col("_one.p")))
+    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("d", "p", "n")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
+    later = _matched(spans, written(firsts, "firsts")).filter((F.col("d") != F.col("_one.d")) | (F.col("p") != F.col("_one.p")))
     start = F.when(F.col("d") == F.col("_one.d"), F.greatest("p", F.col("_one.p") + F.col("_one.n"))).otherwise(F.col("p"))
     found = later.select("d", start.alias("s"), (F.col("p") + F.col("n") - 1).alias("e")).filter("s <= e").distinct()
     by = Window.partitionBy("d").orderBy("s", "e")
