@@ -31,12 +31,3 @@ def duck(sf):
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
     return con
-
-
-def same(a, b) -> bool:
-    """Two pandas frames as multisets of rows, columns by name."""
-    cols = sorted(a.columns)
-    if cols != sorted(b.columns) or len(a) != len(b):
-        return False
-    x, y = (f[cols].astype(str).sort_values(cols).reset_index(drop=True) for f in (a, b))
-    return x.equals(y)
