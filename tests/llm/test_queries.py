@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest import same
+from compare import same
 from helpers import rows
 
 from quarry.llm import fingerprints, licenses, line_dedup, queries, secrets
@@ -196,13 +196,14 @@ def test_line_dedup_edges(spark, edge):
     for i in sorted(cut):
         solid = [u.strip(" \t\n\r") for u in cut[i]]
         size = [u.count(" ") + 1 for u in solid]
-        for p in range(len(solid)):
-            total = e = 0
-            while p + e < len(solid) and total < line_dedup.MIN_WORDS:
-                total += size[p + e]
-                e += 1
-            if total < line_dedup.MIN_WORDS:
-                continue
+        whole, back = len(solid), len(solid)
+        while back and sum(size[back:]) < line_dedup.MIN_WORDS:
+            back -= 1
+        found = {(back, whole - back)} if sum(size) >= line_dedup.MIN_WORDS else set()
+        for p in range(whole):
+            e = next((n for n in range(1, whole - p + 1) if sum(size[p : p + n]) >= line_dedup.MIN_WORDS), 0)
+            found |= {(p, e)} if e else set()
+        for p, e in sorted(found):
             body = tuple(solid[p : p + e])
             if body in first:
                 d, q, n = first[body]
