@@ -133,7 +133,7 @@ def fingerprint(ds: Column) -> Column:
 
 
 def followers(ids: DataFrame) -> DataFrame:
-    """(u, nu): each document, named by u, and the next one in descending order of d; after the last comes the first.
+    """(d, u, nu): each document, named by u, and the next one in descending order of d; after the last comes the first.
 
     ids: d, and u that names the document and settles ties. The distinct ids are dealt out by range and numbered within;
     only the ends of the ranges meet.
@@ -145,7 +145,7 @@ def followers(ids: DataFrame) -> DataFrame:
     whole = Window.orderBy("part")  # a row for each range
     first = F.first("one").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = inside.filter("_r = 1").select("part", F.col("u").alias("one")).select("part", F.coalesce(F.lead("one").over(whole), first).alias("then"))
-    return inside.join(ends, "part").select("u", F.coalesce("_in", "then").alias("nu"))
+    return inside.join(ends, "part").select("d", "u", F.coalesce("_in", "then").alias("nu"))
 
 
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,11 +154,12 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     named = F.concat(F.when(F.col("d").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("d").cast("string"))), F.lit(":"), F.xxhash64("t").cast("string"))
     rows = rows.withColumn("u", named)
     sizes = rows.select("u", F.floor(F.length("t") / 3).cast("int").alias("k")).distinct()
-    asked = followers(rows).join(sizes, "u").select(F.col("u").alias("a"), F.col("nu").alias("u"), "k")
-    # The same exchange of the texts by name serves both joins; between them only starts and digests move.
-    given = rows.join(asked, "u").select(F.col("a").alias("u"), F.substring("t", F.lit(1), F.col("k")).alias("head"), digests(F.col("t")).alias("next_ds"), "k")
-    given = given.groupBy("u").agg(*[F.first(c).alias(c) for c in ("head", "next_ds", "k")])  # repeated rows give the same
-    both = rows.join(given, "u")
+    asked = followers(rows).join(sizes, "u").select("d", F.col("u").alias("a"), F.col("nu").alias("u"), "k")
+    # One exchange of the texts by name serves both joins (so both read just u and t); between them starts and digests move.
+    texts = rows.select("u", "t")
+    given = texts.join(asked, "u").select("d", F.col("a").alias("u"), F.substring("t", F.lit(1), F.col("k")).alias("head"), digests(F.col("t")).alias("next_ds"), "k")
+    given = given.groupBy("u").agg(*[F.first(c).alias(c) for c in ("d", "head", "next_ds", "k")])  # repeated rows give the same
+    both = texts.join(given, "u")
     edited = F.concat(F.substring("t", F.lit(1), F.length("t") - F.col("k")), F.col("head"))
     both = both.select("d", F.length("t").cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("t")).alias("ds"), "next_ds").withColumn("edited_ds", digests(F.col("edited")))
     return both.select(
