@@ -1,12 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
 Units are the lines of a text, and the sentences of a line. A window is the shortest run of units from a unit on that
-has MIN_WORDS words; its fingerprint is the least unit hash in it, so that equal runs of so many words always share a
+has MIN_WORDS words, or the shortest such run that ends the text; its fingerprint is the least unit hash in it, so that equal runs of so many words always share a
 fingerprint. Windows are kept by runs of equal fingerprint; those whose fingerprint occurs once go no further. Of the
 others, equal windows are matched with their first occurrence (least id, then place), and adjoining matches extend each
 other both ways into maximal runs, which are deleted wherever they are not the first.
 
-So a unit is deleted if and only if it lies in a window that has occurred before. (Where a text repeats itself and the
+So a unit is deleted if and only if it lies in a window that has occurred before; what follows the last whole window of a
+repeated run, less than MIN_WORDS words, stays if other text follows it. (Where a text repeats itself and the
 occurrences overlap, the first one stays whole.) Words are counted by spaces, a unit counts one at least.
 
 Nulls stay null; texts without a window are left alone; rows whose id is null are left as they are and match nothing; rows
@@ -67,8 +68,17 @@ def _windows(text: Column, least: int) -> Column:
         return bound(F.slice(hashes, i, n), lambda own: F.struct((i - 1).alias("p"), n.alias("n"), F.array_min(own).alias("f"), F.xxhash64(own).alias("h")))
 
     def of(x: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(x["w"])), lambda i: bound(_reach(x["w"], i, least), lambda n: F.when(n > 0, window(x["h"], i, n))))
-        return F.filter(each, lambda y: y.isNotNull())
+        size = F.size(x["w"])
+        each = F.transform(F.sequence(F.lit(1), size), lambda i: bound(_reach(x["w"], i, least), lambda n: F.when(n > 0, window(x["h"], i, n))))
+
+        def ended(found: Column) -> Column:
+            """With the shortest run that ends the text, where no window does."""
+            last = F.try_element_at(found, F.lit(-1))
+            back = F.reverse(F.slice(x["w"], F.greatest(size - least + 1, F.lit(1)), F.lit(least)))
+            final = bound(_reach(back, F.lit(1), least), lambda n: F.array(window(x["h"], size - n + 1, n)))
+            return F.when(last.isNull() | (last["p"] + last["n"] == size), found).otherwise(F.concat(found, final))
+
+        return bound(F.filter(each, lambda y: y.isNotNull()), ended)
 
     def counted(u: Column) -> Column:
         return F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1
@@ -169,7 +179,10 @@ t AS (SELECT *, trim(u, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM u),
 n AS (SELECT *, SUM(strlen(s) - strlen(replace(s, ' ', '')) + 1) OVER (PARTITION BY doc_id ORDER BY p) AS upto,
         strlen(s) - strlen(replace(s, ' ', '')) + 1 AS own FROM t),
 w AS (SELECT a.doc_id, a.p, MIN(b.p) AS e FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {MIN_WORDS - 1}
-        AND b.upto - a.upto + a.own >= {MIN_WORDS} GROUP BY 1, 2),
+        AND b.upto - a.upto + a.own >= {MIN_WORDS} GROUP BY 1, 2
+      UNION SELECT a.doc_id, MAX(a.p), b.p FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.p BETWEEN b.p - {MIN_WORDS - 1} AND b.p
+        JOIN (SELECT doc_id, MAX(p) AS p FROM n GROUP BY doc_id) z ON z.doc_id = b.doc_id AND z.p = b.p
+        WHERE b.upto - a.upto + a.own >= {MIN_WORDS} GROUP BY a.doc_id, b.p),
 x AS (SELECT w.doc_id, w.p, w.e, string_agg(t.s, chr(1) ORDER BY t.p) AS body FROM w JOIN t ON t.doc_id = w.doc_id AND t.p BETWEEN w.p AND w.e GROUP BY 1, 2, 3),
 f AS (SELECT body, MIN(ROW(doc_id, p, e)) AS one FROM x GROUP BY body HAVING COUNT(*) > 1),
 r AS (SELECT x.doc_id, CASE WHEN x.doc_id = one[1] THEN GREATEST(x.p, one[3] + 1) ELSE x.p END AS s, x.e FROM x JOIN f USING (body)
