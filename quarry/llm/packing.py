@@ -14,9 +14,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,14 +29,21 @@ from pyspark.sql import functions as F
 from quarry.llm.batches import slices
 from quarry.llm.common import written
 
-#: Open windows of a partition, and partitions whose windows are merged together: 64 * 32 * 2048 ids at most in one task.
-OPEN, GROUP = 32, 64
+#: Open windows of a partition, and partitions whose windows are merged together: 16 * 32 * 2048 ids at most in one task.
+OPEN, GROUP = 32, 16
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 _LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \xa0"
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Words:
     """The ids of a word-level BPE tokenizer (lower case, a word at a time), as little-endian uint32.
 
@@ -60,13 +68,13 @@ class Words:
         return not self.odd.search(text)
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.plain(x) for x in texts]
         cut = [self.pattern.findall(x.lower()) for x, p in zip(texts, plain) if p]
-        wanted = set(chain.from_iterable(cut))
-        new = [w for w in wanted if w not in self.table]
+        wanted = set().union(*cut)
+        new = list(wanted.difference(self.table))
         if len(self.table) + len(new) > REMEMBERED:
             self.table.clear()
             new = list(wanted)
