@@ -15,8 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ NONE = np.int64(1 << 40)
 #: Longer chunks are merged by a queue instead of rounds: both give the same pieces.
 LONG = 4096
 #: Chunks that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 class Pieces:
@@ -189,10 +188,9 @@ class Pieces:
         char = chr(-10 - symbol) if symbol < 0 else chr(int(np.flatnonzero(self.known == symbol)[0]))
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def learn(self, wanted: set[str]) -> None:
         """Puts chunks that the table lacks into it, as ids in decimal."""
-        wanted = set(chunks)
-        new = [c for c in wanted if c not in self.table]
+        new = list(wanted.difference(self.table))
         if len(self.table) + len(new) > REMEMBERED:
             self.table.clear()
             new = list(wanted)
@@ -202,7 +200,7 @@ class Pieces:
     def encode(self, texts: list[str | None], end: bool = False) -> list[str]:
         """The ids of each text in decimal, joined by a space."""
         cut = [self.chunks(x or "") for x in texts]
-        self.learn(chain.from_iterable(cut))
+        self.learn(set().union(*cut))
         get, tail = self.table.__getitem__, [str(self.end)] if end else []
         return [" ".join([*map(get, c), *tail]) for c in cut]
 
