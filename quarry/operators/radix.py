@@ -32,20 +32,28 @@ def offsets(hist: DataFrame, order: tuple[str, ...] = ("bucket",)) -> DataFrame:
     return hist.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
 
 
+def task_offsets(df: DataFrame, bits: int, key: str, rid: str, chunk: int = CHUNK) -> DataFrame:
+    """(bucket, chunk, n, start): where the rows of a chunk of rids start in the partitioned relation, by bucket.
+
+    One task sums up by bucket, the buckets' own starts come from their 2^bits totals.
+    """
+    hist = df.groupBy(bucket(F.col(key), bits).alias("bucket"), F.floor(F.col(rid) / chunk).cast("long").alias("chunk")).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    starts = offsets(hist.groupBy("bucket").agg(F.sum("n").alias("n"))).select("bucket", F.col("start").alias("_first"))
+    out = hist.withColumn("_in", F.coalesce(earlier, F.lit(0))).join(F.broadcast(starts), "bucket")  # 2^bits rows
+    return out.select("bucket", "chunk", "n", (F.col("_first") + F.col("_in")).cast("long").alias("start"))
+
+
 def positions(df: DataFrame, bits: int, key: str, rid: str, chunk: int = CHUNK) -> DataFrame:
     """The place of every row in the partitioned relation, stable in rid within a bucket.
 
     As parallel partitioning does: a histogram for each (bucket, chunk of rids), prefix sums over them, and numbers
     within each.
     """
-    rows = df.withColumns({"bucket": bucket(F.col(key), bits), "_chunk": F.floor(F.col(rid) / chunk).cast("long")})
-    hist = rows.groupBy("bucket", "_chunk").agg(F.count("*").alias("n"))
-    inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
-    starts = offsets(histogram(df, bits, key)).select("bucket", "start")
-    hist = hist.withColumn("_in", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "bucket")  # 2^bits rows
-    local = F.row_number().over(Window.partitionBy("bucket", "_chunk").orderBy(rid)) - 1
-    out = rows.withColumn("_local", local).join(hist, ["bucket", "_chunk"])
-    return out.select(rid, "bucket", (F.col("start") + F.col("_in") + F.col("_local")).cast("long").alias("pos"))
+    rows = df.withColumns({"bucket": bucket(F.col(key), bits), "chunk": F.floor(F.col(rid) / chunk).cast("long")})
+    local = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy(rid)) - 1
+    out = rows.withColumn("_local", local).join(task_offsets(df, bits, key, rid, chunk), ["bucket", "chunk"])
+    return out.select(rid, "bucket", (F.col("start") + F.col("_local")).cast("long").alias("pos"))
 
 
 def placed(df: DataFrame, bits: int, key: str = "key") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dictionary
 from quarry.operators import access, joins, keyset, radix, relational
-from quarry.sources.tables import operation, preview, table
+from quarry.sources.tables import operation, operation_log, preview, repeated_keys, table, uniform, unique_keys
 from quarry.streaming import keyed_set
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,8 @@ _query("q0_sum_neq5", _Q0)(lambda s, d: relational.total(relational.select(_x(s,
 _query("q1_select_eq", f"SELECT CAST(x AS BIGINT) AS x FROM {_REL} WHERE x = 11")(lambda s, d: relational.select(_x(s, d), EQ))
 _query("q2_sum_neq4", _SUM + " WHERE x <> 12 AND x <> 11 AND x <> 42 AND x <> 43")(lambda s, d: relational.total(relational.select(_x(s, d), NEQ4)))
 _query("q3_sum_all", _SUM)(lambda s, d: relational.total(_x(s, d)))
+_query("select_neq", f"SELECT CAST(x AS BIGINT) AS x FROM {_REL} WHERE x <> 11")(lambda s, d: relational.select(_x(s, d), [("<>", 11)]))
+_query("select_smaller", f"SELECT CAST(x AS BIGINT) AS x FROM {_REL} WHERE x < 42")(lambda s, d: relational.select(_x(s, d), [("<", BELOW)]))
 _query("scan_project", f"SELECT CAST(x AS BIGINT) AS x FROM {_REL}")(_x)
 _query("count_all", f"SELECT COUNT(*) AS n FROM {_REL}")(lambda s, d: relational.count(_x(s, d)))
 _query("count_neq5", f"SELECT COUNT(*) AS n FROM {_REL} WHERE x <> 11 AND x <> 42 AND x <> 99 AND x <> 30 AND x <> 77")(lambda s, d: relational.count(relational.select(_x(s, d), NEQ5)))
@@ -117,6 +119,10 @@ _query("radix_two_pass_histogram", "SELECT l_partkey & 7 AS b1, (l_partkey >> 3)
 _query("radix_positions", "SELECT o_orderkey, o_custkey & 15 AS bucket, ROW_NUMBER() OVER (ORDER BY o_custkey & 15, o_orderkey) - 1 AS pos FROM orders")(
     lambda s, d: radix.positions(table(s, d, "orders").select("o_orderkey", "o_custkey"), 4, "o_custkey", "o_orderkey", chunk=1 << 12)
 )
+_query("radix_task_offsets", """SELECT bucket, chunk, n, CAST(COALESCE(SUM(n) OVER (ORDER BY bucket, chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM (SELECT o_custkey & 15 AS bucket, CAST(o_orderkey // 4096 AS BIGINT) AS chunk, COUNT(*) AS n FROM orders GROUP BY 1, 2) AS h""")(
+    lambda s, d: radix.task_offsets(table(s, d, "orders"), 4, "o_custkey", "o_orderkey", chunk=1 << 12)
+)
 _query("radix_placement", "SELECT l_partkey & 15 AS bucket, COUNT(*) AS n, CAST(0 AS BIGINT) AS astray FROM lineitem GROUP BY 1")(lambda s, d: radix.misplaced(_s(s, d), 4))
 
 # --- dictionary decoding -----------------------------------------------------------------------------------------
@@ -159,6 +165,19 @@ _query("cell_members", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SEL
     lambda s, d: access.members(table(s, d, "orders").select(F.col("o_custkey").alias("id")), _cells(s, d))
 )
 
+# --- seeded generators, by what holds for any seed ---------------------------------------------------------------
+
+_query("gen_uniform", "SELECT CAST(10000 AS BIGINT) AS n, TRUE AS inside, CAST(100 AS BIGINT) AS seen")(
+    lambda s, d: uniform(s, 10_000).agg(F.count("*").alias("n"), F.bool_and((F.col("x") >= 0) & (F.col("x") < 100)).alias("inside"), F.count_distinct("x").alias("seen"))
+)
+_query("gen_unique_keys", "SELECT CAST(4096 AS BIGINT) AS n, CAST(4096 AS BIGINT) AS keys, TRUE AS inside")(
+    lambda s, d: unique_keys(s, 4096).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.bool_and((F.col("key") >= 0) & (F.col("key") < 4096 * 16)).alias("inside"))
+)
+_query("gen_repeated_keys", "SELECT CAST(20000 AS BIGINT) AS n, CAST(64 AS BIGINT) AS keys")(lambda s, d: repeated_keys(s, 20_000, 64).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")))
+_query("gen_operation_mix", "SELECT op, CAST(n AS BIGINT) AS n FROM (VALUES ('contains', 600), ('insert', 200), ('remove', 200)) AS t(op, n)")(
+    lambda s, d: operation_log(s, 1000).groupBy("op").agg(F.count("*").alias("n"))
+)
+
 # --- keyed set over the events: dense keys user_id % 16, sparse keys event_id * 7919 % 4028 ------------------------
 
 DENSE, DENSE_START, SPARSE, SPARSE_START = 16, 12, 4028, 3021
