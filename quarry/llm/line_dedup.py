@@ -44,18 +44,18 @@ def units(text: Column) -> Column:
 
 def _reach(counts: Column, i: Column, least: int) -> Column:
     """Units of the shortest run from i (1-based) with that many words; 0 if the text ends before."""
-
-    def run(size: int) -> Column:
-        return F.aggregate(
-            F.slice(counts, i, F.lit(size)), F.lit(0).cast("long"),
-            lambda a, x: F.when(F.shiftright(a, 20) >= least, a).otherwise(a + x * (1 << 20) + 1),
-        )
-
-    def or_longer(short: Column) -> Column:
-        return F.when(F.shiftright(short, 20) >= least, short).otherwise(run(least))
-
-    # Most windows have a few units; every unit has a word, so none has more than `least`.
-    return bound(bound(run(min(6, least)), or_longer), lambda a: F.when(F.shiftright(a, 20) >= least, a.bitwiseAND(F.lit((1 << 20) - 1))).otherwise(F.lit(0))).cast("int")
+    run = F.aggregate(
+        F.slice(counts, i, F.lit(least)), F.lit(0).cast("long"),  # every unit has a word, so no run is longer
+        lambda a, x: F.when(F.shiftright(a, 20) >= least, a).otherwise(a + x * (1 << 20) + 1),
+    )
+    found = bound(run, lambda a: F.when(F.shiftright(a, 20) >= least, a.bitwiseAND(F.lit((1 << 20) - 1))).otherwise(F.lit(0))).cast("int")
+    total, cases = F.get(counts, i - 1), []
+    for k in range(1, 5):  # most runs are as short as this
+        cases.append((total >= least, k))
+        total = total + F.get(counts, i - 1 + k)
+    for held, k in reversed(cases):
+        found = F.when(held, F.lit(k)).otherwise(found)
+    return found
 
 
 def _windows(text: Column, least: int) -> Column:
