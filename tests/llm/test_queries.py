@@ -194,7 +194,7 @@ def test_line_dedup_edges(spark, edge):
         cut[i] = us
     first, gone = {}, {i: set() for i in cut}
     for i in sorted(cut):
-        solid = [u.strip(" \t\n\r") for u in cut[i]]
+        solid = [u.replace("\n", " ").replace("\r", " ").strip(" ") for u in cut[i]]
         size = [u.count(" ") + 1 for u in solid]
         whole, back = len(solid), len(solid)
         while back and sum(size[back:]) < line_dedup.MIN_WORDS:
