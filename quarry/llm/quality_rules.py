@@ -43,7 +43,7 @@ RULES: tuple[Rule, ...] = (
     Rule("stop words", "n_stop_words", low=0.02, per="n_words"),
     Rule("capitals", "n_upper", high=0.5, per="word_chars"),
     Rule("bars", "n_bars", high=0.2, per="n_words"),
-    Rule("repeated lines", "n_dup_lines", high=0.3, per="n_lines"),
+    Rule("repeated lines", "n_dup_lines", high=0.6, per="n_lines"),
 )
 
 
