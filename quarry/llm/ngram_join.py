@@ -37,7 +37,7 @@ ORDERS = 3
 #: Bounds of the two tables: frequent tokens (12 bytes each) and bits of the bitmap.
 FREQUENT, BITS = 1 << 20, 1 << 27
 #: Tokens that a task counts at once.
-BUFFER = 3_000_000
+BUFFER = 1_500_000
 #: Longs of the parity sketch.
 SKETCH = 8
 

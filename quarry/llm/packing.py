@@ -32,7 +32,7 @@ from quarry.llm.common import written
 #: Open windows of a partition, and partitions whose windows are merged together: 16 * 32 * 2048 ids at most in one task.
 OPEN, GROUP = 32, 16
 #: Words that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 _LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \xa0"
 
