@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, ngram_join, packing, secrets, toxicity
+from quarry.llm import line_dedup, ngram_join, packing, passages, secrets, toxicity
 from quarry.llm.common import table, written
 
 
@@ -20,9 +20,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines stay where they come first. A document of which nothing is left goes."""
-    out = line_dedup.deduplicated(docs, length="n_chars")
-    return out.filter((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """Repeated runs of lines, and passages of over 50 words inside them, stay where they come first. A document of which nothing is left goes."""
+    out = passages.deduplicated(written(line_dedup.deduplicated(docs, length="n_chars"), "lines"), length="n_chars")
+    return out.filter((F.col("n_gone") + F.col("n_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
