@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
 A string that a trained vocabulary cuts into many tokens for its length was not written by people. Long runs of key
-characters that mix letters and digits are tested that way, after known digests (hex of the usual lengths), UUIDs and
-plain identifiers (words joined by marks, numbers) are set aside.
+characters are tested that way, cut at '=' and '.' (names, domains, the parts of a JWT) and, where a part is not random as a
+whole, at '/' and then at other marks. Known digests (hex of the usual lengths), UUIDs, numbers and plain identifiers (words
+joined by marks) are set aside; a string of letters alone is judged by its tokens only. Of a run that holds a span of a fixed
+pattern the rest is tested.
 
 A null or empty text has no spans; spans are code points of the whole text, end exclusive; repeated rows are scanned one
 by one; other columns are kept by `redacted`. The vocabulary is read on the driver and sent to the workers.
@@ -25,6 +27,8 @@ from quarry.llm.batches import slices
 BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "random")
 #: Characters of a run that is tested, and the most characters to a token that it may have.
 SHORTEST, MOST_CHARS_PER_TOKEN = 20, 2.2
+#: The same for letters in the shape of one word: a dozen long words of other languages have 2.07 and more, 99 % of random letters less.
+MOST_IN_A_WORD = 2.0
 MASK = "[SECRET]"
 
 
@@ -42,14 +46,46 @@ _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 #: Words, capitalised words or numbers, joined by marks: paths, versions, file names, table rules.
 _IDENTIFIER = re.compile(r"[-_./=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]+[0-9]{1,4})(?:[-_./=+]+|$))*")
-_KEYISH = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Parts of a run, with the padding of base64 where nothing follows it; and the cuts of a part that is not random as a whole.
+_PART = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?=\.|$))?")
+_CUTS = (re.compile(r"[^/]+"), re.compile(r"[^/_+-]+"))
+#: Characters whose tokens are counted at once.
+_AT_ONCE = 1000
 
 
 def _mixed(run: str) -> bool:
-    """Letters and digits that alternate: at least three changes between lower case, upper case and digits."""
+    """Letters alone, or letters and digits that alternate: at least three changes between lower case, upper case and digits."""
     kinds = [1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 0 for c in run]
     kinds = [k for k in kinds if k]
-    return 3 in kinds and (1 in kinds or 2 in kinds) and sum(a != b for a, b in zip(kinds, kinds[1:])) >= 4
+    return (1 in kinds or 2 in kinds) and (3 not in kinds or sum(a != b for a, b in zip(kinds, kinds[1:])) >= 3)
+
+
+def _dense(core: str, tokens, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+    return len(core) <= most * sum(tokens(core[k : k + _AT_ONCE]) for k in range(0, len(core), _AT_ONCE))
+
+
+def _random(core: str, tokens) -> bool:
+    if len(core) < SHORTEST or not _mixed(core) or _DIGEST.fullmatch(core) or _UUID.search(core):
+        return False
+    plain = _IDENTIFIER.fullmatch(core)
+    return (not plain or core.isalpha()) and _dense(core, tokens, MOST_IN_A_WORD if plain else MOST_CHARS_PER_TOKEN)
+
+
+def _parts(s: str, at: int, tokens, cuts=(_PART, *_CUTS)) -> Iterator[tuple[str, int, int]]:
+    """The random parts of s, which starts at `at`: the longest that are random as a whole, without the folders of a path around them."""
+    for m in cuts[0].finditer(s):
+        if len(m[0]) < SHORTEST:
+            continue
+        a, b = m.span()
+        if cuts[0] is _PART and _random(m[0], tokens):
+            own = [p.span() for p in _CUTS[0].finditer(s, a, b)]
+            worded = [bool(_IDENTIFIER.fullmatch(s[i:j])) and not _dense(s[i:j], tokens) for i, j in own]
+            if False in worded and True in (worded[0], worded[-1]):
+                a, b = own[worded.index(False)][0], own[len(own) - 1 - worded[::-1].index(False)][1]
+        if _random(s[a:b], tokens):
+            yield "random", at + a, at + b
+        elif len(cuts) > 1:
+            yield from _parts(m[0], at + m.start(), tokens, cuts[1:])
 
 
 def encoder(ranks: bytes, pattern: str):
@@ -70,14 +106,10 @@ def spans(text: str, tokens) -> list[tuple[str, int, int]]:
         own = [("access", start + m.start(), start + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 18]
         own += [("hex", start + m.start(), start + m.end()) for m in HEX.finditer(s)]
         found += own
-        if own or len(s) < SHORTEST:
-            continue
-        core = s.rstrip(".").lstrip(".=")
-        if len(core) < SHORTEST or not _mixed(core) or _IDENTIFIER.fullmatch(core) or _DIGEST.fullmatch(core) or _UUID.search(core) or not _KEYISH.fullmatch(core):
-            continue
-        if len(core) <= MOST_CHARS_PER_TOKEN * tokens(core):
-            at = start + s.index(core)
-            found.append(("random", at, at + len(core)))
+        done = 0
+        for _, a, b in [*sorted(own, key=lambda x: x[1]), ("", start + len(s), start + len(s))]:
+            found += _parts(s[done : max(done, a - start)], start + done, tokens)
+            done = max(done, b - start)
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return found
 
