@@ -76,6 +76,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "To the extent possible under law, the author has waived all copyright and related rights to this work, CC0 1.0 Universal public domain dedication.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
         "Copyright, all rights reserved. No part of this publication may be reproduced or distributed without prior written permission of the publisher.",
     ),
@@ -87,6 +88,7 @@ OTHERS = (
     "The warranty of the washing machine ended in May.", "Copyright law is taught in the second year.", "Apache helicopters flew over the valley.",
     "The general public was invited to the version of the play.", "The software was redistributed among the schools of the region.",
     "Creative people have common interests and public goals.", "MIT researchers published a new study of the brain.", "Our licence fee will rise next year.",
+    "All citizens have the same rights.", "All rights of the workers were debated.", "The table was reserved for all of them.",
 )
 #: One of these is part of every template, in lower case.
 ANCHORS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "all rights", "spdx", "copies or substantial")

@@ -231,3 +231,13 @@ def test_licenses(spark, edge, sf):
     names = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC 4.0": "cc-by-nc"}
     for i, t in docs(spark, sf):
         assert real[i] == (",".join(sorted(f for n, f in names.items() if n in t)) or "none"), t[-200:]
+
+
+def test_bare_rights_notice(spark, sf):
+    lines = ["All rights reserved.", "Some prose of no weight.\nAll rights reserved.", "Copyright 2020 Someone. All rights reserved.", "All citizens have the same rights."]
+    got = licenses.by_document(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.families for r in got] == ["proprietary"] * 3 + ["none"]
+    real = {r.doc_id: r.families for r in licenses.by_document(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    names = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC 4.0": "cc-by-nc", "All rights reserved.": "proprietary"}
+    for i, t in docs(spark, sf):
+        assert real[i] == (",".join(sorted(f for n, f in names.items() if n in t)) or "none"), t[-200:]
