@@ -5,8 +5,9 @@ family, varied by a seeded rule, and on sentences that only sound alike. It name
 varied templates held back makes its confidence mean what it says, and paragraphs below the least confidence are unknown. A
 prediction counts only if the paragraph shares enough words with a template of its family.
 
-Paragraphs are lines. Only those with an anchor word are scored: every template has one (a test holds that), and without
-one nothing could be confirmed. Scoring is a join with the bounded table of weights and sums by paragraph.
+Paragraphs are lines. Those with an anchor word are scored, and those that share enough words with a template to be confirmed,
+one of them a word that tells (not a number or function word) and two at least: one word alone, as 'mit', is a word of prose
+too. Without an anchor a paragraph counts only if it is confirmed. Scoring is a join with the bounded table of weights and sums by paragraph.
 
 Nulls and texts without a paragraph in question have no licence; repeated rows of one id and text count as one document;
 rows whose id is null are kept with no licence found; an empty table gives no rows; other columns are ignored.
@@ -90,6 +91,8 @@ OTHERS = (
     "Creative people have common interests and public goals.", "MIT researchers published a new study of the brain.", "Our licence fee will rise next year.",
     "All citizens have the same rights.", "All rights of the workers were debated.", "The table was reserved for all of them.",
 )
+#: Words of templates that tell nothing by themselves.
+COMMON = frozenset("the of and to in a is by this or for you it that any be with not are on as at from all no may its has have an under use used work part file form other without".split())
 #: One of these is part of every template, in lower case.
 ANCHORS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "all rights", "spdx", "copies or substantial")
 #: Least calibrated confidence, and share of the shorter side's words that paragraph and template have in common.
@@ -165,8 +168,21 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, p (line number) and the words of each distinct paragraph in question."""
+def _worded(ws, shared: float):
+    """Whether the words have a likeness of `shared` with a template, by two words and one that tells."""
+    sets = sorted({tuple(sorted(set(words(t)))) for ts in TEMPLATES.values() for t in ts})
+    telling = sorted({w for tw in sets for w in tw if not w.isdigit()} - COMMON)
+    own = F.array_distinct(ws)
+
+    def alike(tw):
+        both = F.size(F.array_intersect(own, tw))
+        return (both >= 2) & (both / F.least(F.size(own), F.size(tw)) >= shared)
+
+    return F.arrays_overlap(ws, F.lit(telling)) & F.exists(F.array(*[F.lit(list(tw)) for tw in sets]), alike)
+
+
+def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: float = SHARED) -> DataFrame:
+    """key, p (line number), the words and anchored (has an anchor word) of each distinct paragraph in question."""
 
     def anchored(low):
         some = F.contains(low, F.lit(ANCHORS[0]))
@@ -174,13 +190,14 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             some = some | F.contains(low, F.lit(a))
         return some
 
-    some = docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).filter(F.col("d").isNotNull() & anchored(F.col("t")))
-    lines = some.select("d", F.posexplode(F.split("t", "\n")).alias("p", "line")).filter(anchored(F.col("line")))
-    return lines.select("d", "p", F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0)).alias("ws")).filter(F.size("ws") > 0).distinct()
+    some = docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).filter(F.col("d").isNotNull())
+    lines = some.select("d", F.posexplode(F.split("t", "\n")).alias("p", "line"))
+    found = lines.select("d", "p", F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0)).alias("ws"), anchored(F.col("line")).alias("anchored"))
+    return found.filter((F.size("ws") > 0) & (F.col("anchored") | _worded(F.col("ws"), shared))).distinct()
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """d, p, ws, with the family of the highest probability and its confidence."""
+    """found, with the family of the highest probability and its confidence."""
     spark = found.sparkSession
     classes, weights, bias = fitted()
     table = _literal(spark, [{"g": g, "w": w} for g, w in weights.items()], "g string, w array<double>")
@@ -191,16 +208,16 @@ def scored(found: DataFrame) -> DataFrame:
     out = found.join(sums, ["d", "p"], "left").withColumn("z", z).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*map(F.lit, classes))
-    return out.select("d", "p", "ws", F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"), (F.lit(1.0) / total).alias("confidence"))
+    return out.select(*found.columns, F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"), (F.lit(1.0) / total).alias("confidence"))
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, shared: float = SHARED) -> DataFrame:
     """key, p, family, confidence, likeness and confirmed of each paragraph in question that is not none.
 
-    family is unknown where the classifier is not sure enough or no template confirms it.
+    Paragraphs without an anchor word are among them only if confirmed. family is unknown where the classifier is not sure enough or no template confirms it.
     """
     spark = docs.sparkSession
-    named = scored(paragraphs(docs, key, text)).filter(F.col("family") != NONE)
+    named = scored(paragraphs(docs, key, text, shared)).filter(F.col("family") != NONE)
     rows = [{"family": f, "tw": sorted(set(words(t)))} for f, ts in TEMPLATES.items() for t in ts]
     templates = _literal(spark, rows, "family string, tw array<string>")
     own = F.array_distinct("ws")
@@ -208,6 +225,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", confidence
     best = named.join(F.broadcast(templates), "family").groupBy("d", "p").agg(F.max(like).alias("likeness"))
     out = named.join(best, ["d", "p"]).withColumn("confirmed", (F.col("confidence") >= confidence) & (F.col("likeness") >= shared))
     family = F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN)
+    out = out.filter(F.col("confirmed") | F.col("anchored"))
     return out.select(F.col("d").alias(key), "p", family.alias("family"), "confidence", "likeness", "confirmed")
 
 

@@ -241,3 +241,15 @@ def test_bare_rights_notice(spark, sf):
     names = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC 4.0": "cc-by-nc", "All rights reserved.": "proprietary"}
     for i, t in docs(spark, sf):
         assert real[i] == (",".join(sorted(f for n, f in names.items() if n in t)) or "none"), t[-200:]
+
+
+def test_notices_without_an_anchor(spark):
+    notices = {
+        "CC BY-NC 4.0": "cc-by-nc", "CC BY-SA 4.0": "cc-by", "GNU GPL v2 or later": "gpl", "Apache, Version 2.0": "apache", "GNU General Public, version 3": "gpl",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd",
+    }
+    assert not any(a in n.lower() for n in notices for a in licenses.ANCHORS)
+    prose = ["He went there mit the others.", "mit", "of the and to in", "The general sold the software to the public.", "Version 2.0 of the song", "All of them reserved a table."]
+    df = spark.createDataFrame(list(enumerate(["Some prose.\n" + n for n in notices] + prose)), "doc_id bigint, text string")
+    got = [r.families for r in licenses.by_document(df).orderBy("doc_id").collect()]
+    assert got == [*notices.values(), *["none"] * len(prose)]
