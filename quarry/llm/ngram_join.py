@@ -268,6 +268,11 @@ def joined(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str =
 
     similarity is taken in whole hundredths: a link has 100 * shared >= (hundredths) * union.
     """
+    return _joined(docs, width, similarity, key, text, orders, frequent, bits).drop("s1", "s2")
+
+
+def _joined(docs: DataFrame, width: int, similarity: float, key: str, text: str, orders: int, frequent: int, bits: int) -> DataFrame:
+    """joined, with the sums of the sets."""
     hundredths = round(similarity * 100)
     similarity = hundredths / 100
     counted = written(_counted(docs, key, text, width), "shingles")
@@ -308,13 +313,23 @@ def joined(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str =
     crossed = written(verified(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()), "crossed")
     whole = components(stars.unionByName(crossed))
     out = sets.join(classes, ["s1", "s2", "n"], "left").join(whole.toDF("rep", "c"), "rep", "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("rep", key).alias("class_id"), F.coalesce("c", "rep", key).alias("component_id"))
+    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("rep", key).alias("class_id"), F.coalesce("c", "rep", key).alias("component_id"), "s1", "s2")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs with the least id of each component, all columns kept. Ids are taken to name rows: of rows with one id one stays."""
-    kept = joined(docs, key=key, **how).filter(F.col("component_id").eqNullSafe(F.col(key))).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, frequent: int = FREQUENT, bits: int = BITS) -> DataFrame:
+    """The rows of docs with the least id of each component, all columns kept. Ids are taken to name rows: of rows with one id one stays.
+
+    Of rows without an id, one of each set that no row with an id has stays, and all without words; they have no near copies.
+    """
+    found = _joined(docs, width, similarity, key, text, orders, frequent, bits)
+    kept = found.filter(F.col("component_id") == F.col(key)).select(key).distinct()
+    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    unnamed = docs.filter(F.col(key).isNull())
+    counted = _counted(unnamed.filter(F.col(text).isNotNull()), text, text, width)  # the text names the row
+    own = written(counted.filter(F.col("part").isNull() & (F.col("n") > 0)).select(F.col(text), F.col("n").alias("n_shingles"), "s1", "s2").distinct(), "unnamed")
+    on = ["n_shingles", "s1", "s2"]
+    new = own.join(found.filter(F.col(key).isNotNull()).select(*on), on, "left_anti").groupBy(*on).agg(F.min(text).alias(text)).select(text)
+    return named.unionByName(unnamed.join(new, text, "left_semi").dropDuplicates([text])).unionByName(unnamed.join(own.select(text), text, "left_anti")).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

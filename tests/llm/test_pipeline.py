@@ -31,3 +31,10 @@ def test_run_on_empty_tables(spark, tmp_path):
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and out.columns[0] == "doc_id"
+
+
+def test_documents_without_an_id_survive_the_near_stage(spark):
+    own, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, other), (2, other + " end"), (None, own), (None, own), (None, own + " end of another"), (None, other), (None, None), (None, " ")]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, other), (None, own), (None, own + " end of another"), (None, None), (None, " ")]))
