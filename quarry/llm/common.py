@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from quarry.sources.kept import shared_dir, written
 
-__all__ = ["SPACES", "WORD", "bound", "documents", "removed", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "WORD", "bound", "documents", "hot_joined", "removed", "salted_joined", "shared_dir", "table", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The characters that end a word.
 SPACES = " \t\n\x0b\x0c\r"
+#: Keys that are treated apart because many rows have them; any other key has less than 1 / HOT of the rows.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +35,24 @@ def removed(text: Column, characters: str) -> Column:
 def bound(value: Column, use) -> Column:
     """use(value), with value computed once for a row although use may name it many times or inside a lambda."""
     return F.transform(F.array(value), lambda x: use(x))[0]
+
+
+def hot_joined(many: DataFrame, one: DataFrame, on: list[str], count: str) -> DataFrame:
+    """many joined with one, which has a narrow row for each key, stored, with the number of its rows in many as `count`.
+
+    The HOT most frequent keys are broadcast, so that no task gets all rows of one of them.
+    """
+    hot = F.broadcast(one.orderBy(F.desc(count), *on).limit(HOT))
+    return many.join(hot, on).unionByName(many.join(hot.select(*on), on, "left_anti").join(one.join(hot.select(*on), on, "left_anti"), on))
+
+
+def salted_joined(many: DataFrame, one: DataFrame, on: str, by: str, counted: DataFrame) -> DataFrame:
+    """many joined with one, whose rows may be wide: those of the HOT most frequent keys of `counted` (stored rows with the
+    keys of many) are copied, and the rows of many dealt out among the copies by `by`. HOT further copies at most are made of
+    the rows of one."""
+    share = counted.select(F.floor(F.count("*") / HOT).alias("n") + 1).scalar()
+    hot = counted.groupBy(on).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), on).limit(HOT)
+    hot = F.broadcast(written(hot.select(on, (F.floor(F.col("_c") / share) + 1).cast("int").alias("_salts")).filter("_salts > 1"), "hot"))
+    left = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    right = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [on, "_salt"]).drop("_salt")

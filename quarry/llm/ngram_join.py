@@ -3,41 +3,44 @@
 Every text is a set of hashed word shingles. For a similarity t, two sets of a link share a token among their
 n - ceil(t n) + 1 first tokens in any one order of all tokens. Several orders are used at once, all with rare tokens first
 and each with its own permutation among tokens of equal rank, and a candidate must share prefix tokens in every one of
-them. Candidates also pass two exact bounds (set sizes; a parity sketch, whose differing bits are no more than the sets'
-differing tokens) and are then verified on the whole sets.
+them: it is found by the first order's tokens and then has to overlap in the others'. Candidates also pass two exact bounds
+(set sizes; a parity sketch, whose differing bits are no more than the sets' differing tokens) and are then verified on the
+whole sets.
 
 Equal sets are one class from the start. Links between classes are found in two steps, so that large groups of near copies
 never emit all of their pairs: first each class against the representative of each of its buckets; then, between what is
 not yet connected, the rest. Connected components of all links are exact.
 
-Ranks come from counts over all shingles of all documents, kept as two tables of bounded size: the most frequent tokens
-with their counts, and a bitmap of tokens met more than once. Whatever they leave out ranks as rare for every document
-alike, so their bounds touch only the work, never the result.
+Ranks come from counts over all shingles of all documents. Texts are read in chunks; a chunk's tokens go out as packed counts
+by hash range, each range is summed up in one task, and what comes back to the chunk is one byte for each of its tokens. So
+no table of tokens is ever in one process, and nothing of it passes the driver.
 
-Nulls and texts without words have empty sets and no links; texts with fewer words than a shingle have one shingle;
-repeated rows are in one class; an empty table gives no rows; other columns are ignored by `joined` and kept by
-`deduplicated`. Rows whose id is null are joined by their text but cannot name a component.
+Rows are told apart by where they are, not by their id: one id may stand for several texts. Nulls and texts without words
+have empty sets and no links; texts with fewer words than a shingle have one shingle; repeated rows are in one class; an
+empty table gives no rows; other columns are ignored by `joined` and `links` and kept by `deduplicated`. Rows whose id is
+null are joined by their text but cannot name a component.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import flat, slices
-from quarry.llm.common import written
+from quarry.llm.common import SPACES, hot_joined, salted_joined, written
 from quarry.llm.wordhash import LOWER, hashes, mix, words
+from quarry.operators.joins import estimated_bytes
 
 ORDERS = 3
-#: Bounds of the two tables: frequent tokens (12 bytes each) and bits of the bitmap.
-FREQUENT, BITS = 1 << 20, 1 << 27
-#: Tokens that a task counts at once.
-BUFFER = 1_500_000
+#: Tokens of a chunk, which a task counts at once (a longer text is a chunk of its own).
+BUFFER = 750_000
+#: Estimated bytes of text whose tokens are summed up in one task.
+RANGE = 4 << 20
 #: Longs of the parity sketch.
 SKETCH = 8
 
@@ -98,97 +101,78 @@ def _unpacked(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.ascontiguousarray(raw[5 * n :].reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
 
 
-class Ranks:
-    """The order of tokens: 0 met once at most, 1 rare, more: by count. The same for every document."""
+def _ranked(amount: np.ndarray) -> np.ndarray:
+    """Counts as ranks of one byte: 0 for tokens met once, and more in steps of an eighth of a doubling."""
+    return np.where(amount > 1, np.minimum(1 + 8 * np.log2(np.maximum(amount, 1)), 255), 0).astype(np.uint8)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: np.ndarray):
-        by = np.argsort(keys)
-        self.keys, self.counts, self.bits = keys[by], counts[by], bits
 
-    def of(self, token: np.ndarray) -> np.ndarray:
-        key = token >> np.uint64(24)
-        slot = (key % np.uint64(len(self.bits) * 8)).astype(np.int64)
-        rank = ((self.bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(np.int64)
-        some = np.flatnonzero(rank)
-        if len(self.keys) and len(some):
-            at = np.minimum(np.searchsorted(self.keys, key[some]), len(self.keys) - 1)
-            hit = self.keys[at] == key[some]
-            rank[some[hit]] = self.counts[at[hit]]
-        return rank
-
-
-def _counted(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """A row for each document (key, n, s1, s2) and, with `part` set, packed counts of the tokens of a task by hash range."""
+def _counted(docs: DataFrame, key: str, text: str, width: int, buffer: int) -> DataFrame:
+    """Three kinds of rows: of each document (row, key, h, n, s1, s2; row is its number, h its text's hash), of each chunk
+    (chunk, texts; the documents' rows are chunk, chunk + 1, ...), and packed counts of a chunk's tokens by hash range
+    (chunk, part, n, blob)."""
     kind = docs.schema[key].dataType.simpleString()
-    tasks = max(1, docs.rdd.getNumPartitions())  # known from the files, nothing runs
-    ranges = 1 << max(4, math.ceil(math.log2(tasks)) + 1)
-    shift = np.uint64(40 - int(math.log2(ranges)))
-    names = [key, "n", "s1", "s2", "part", "blob"]
+    ranges = 1 << min(16, max(4, (estimated_bytes(docs.select(text)) // RANGE).bit_length()))
+    shift = np.uint64(40 - ranges.bit_length() + 1)
+    fields = [("row", pa.int64()), (key, None), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int64()), ("texts", pa.list_(pa.string())), ("part", pa.int32()), ("blob", pa.binary())]
+
+    def batch_of(types: pa.DataType, size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get("k" if t is None else c, pa.nulls(size, t or types)) for c, t in fields], names=[c for c, _ in fields])
 
-    def counts(tokens: list[np.ndarray], types: pa.DataType) -> pa.RecordBatch:
+    def counts(types: pa.DataType, chunk: int, texts: list[pa.Array], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield batch_of(types, 1, chunk=pa.array([chunk], pa.int64()), texts=pa.array([[x for t in texts for x in t.to_pylist()]], pa.list_(pa.string())))
         keys, amount = np.unique(np.concatenate(tokens) >> np.uint64(24), return_counts=True)
-        cut = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
-        some = [i for i in range(ranges) if cut[i + 1] > cut[i]]
-        blobs = [_packed(keys[cut[i] : cut[i + 1]], amount[cut[i] : cut[i + 1]]) for i in some]
-        sizes = [int(cut[i + 1] - cut[i]) for i in some]
-        none = pa.nulls(len(some), types)
-        return pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        part = (keys >> shift).astype(np.int64)
+        some = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.empty(0, np.int64)
+        cut = [*some.tolist(), len(keys)]
+        blobs = [_packed(keys[a:b], amount[a:b]) for a, b in zip(cut, cut[1:])]
+        yield batch_of(types, len(some), chunk=pa.array([chunk] * len(some), pa.int64()), n=pa.array(np.diff(cut), pa.int64()), part=pa.array(part[some], pa.int32()), blob=pa.array(blobs, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, types = [], 0, None
+        row = chunk = TaskContext.get().partitionId() << 33
+        texts, tokens, size, types = [], [], 0, None
         for batch in batches:
             types = batch.column(0).type
-            for start, texts in slices(batch.column(1)):
-                owner, token = shingles(texts, width)
-                n, s1, s2 = _sums(owner, token, len(texts))
-                empty = len(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, empty), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())], names=names)
-                held.append(token)
+            for start, own in slices(batch.column(1)):
+                owner, token = shingles(own, width)
+                n, s1, s2 = _sums(owner, token, len(own))
+                yield batch_of(types, len(own), row=pa.array(np.arange(row, row + len(own))), k=batch.column(0).slice(start, len(own)), h=batch.column(2).slice(start, len(own)), n=pa.array(n, pa.int64()), s1=pa.array(s1), s2=pa.array(s2))
+                row += len(own)
+                texts.append(own)
+                tokens.append(token)
                 size += len(token)
-                if size > BUFFER:
-                    yield counts(held, types)
-                    held, size = [], 0
-        if size:
-            yield counts(held, types)
+                if size > buffer:
+                    yield from counts(types, chunk, texts, tokens)
+                    texts, tokens, size, chunk = [], [], 0, row
+        if texts:
+            yield from counts(types, chunk, texts, tokens)
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, part int, blob binary")
+    schema = f"row bigint, `{key}` {kind}, h bigint, n bigint, s1 bigint, s2 bigint, chunk bigint, texts array<string>, part int, blob binary"
+    return docs.select(key, text, _named(text).alias("h")).mapInArrow(run, schema)
 
 
-def _ranks(counted: DataFrame, frequent: int, bits: int) -> Ranks:
-    """Merges the counts range by range; the driver gets the bounded tables only.
+def _named(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    Ranges are as many as tasks, so one has about a task's tokens; it gives its share of the frequent tokens and its part
-    of the bitmap (slots follow the key's low bits, so each range sends its set slots packed).
-    """
-    blobs = counted.filter(F.col("part").isNotNull()).select("part", "n", "blob")
-    ranges = max(1, blobs.select(F.count_distinct("part")).first()[0])
-    share = max(1, frequent // ranges)
 
-    def merge(pdf):
-        import pandas as pd
+def _ranks(counted: DataFrame) -> DataFrame:
+    """chunk and parts: in the order of the ranges, the ranks of the chunk's distinct tokens in ascending order."""
 
-        pairs = [_unpacked(bytes(b), int(n)) for b, n in zip(pdf["blob"], pdf["n"])]
+    def summed(table: pa.Table) -> pa.Table:
+        sizes = table["n"].to_pylist()
+        pairs = [_unpacked(b, n) for b, n in zip(table["blob"].to_pylist(), sizes)]
         keys, counts = np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs])
         by = np.argsort(keys, kind="stable")
-        keys, counts = keys[by], counts[by]
-        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, counts = keys[start], np.add.reduceat(counts, start)
-        slots = np.unique(keys[counts > 1] % np.uint64(bits))
-        top = np.flatnonzero(counts > 2)
-        top = top[np.argsort(-counts[top], kind="stable")[:share]]
-        top.sort()
-        return pd.DataFrame([(len(top), _packed(keys[top], counts[top]), len(slots), _packed(slots, np.ones(len(slots), np.int64)))], columns=["n", "top", "m", "slots"])
-
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    rows = blobs.groupBy("part").applyInPandas(merge, "n bigint, top binary, m bigint, slots binary")
-    for row in written(rows, "ranks").toLocalIterator():  # a range at a time
-        k, c = _unpacked(bytes(row["top"]), row["n"])
-        keys.append(k)
-        counts.append(c)
-        slot, _ = _unpacked(bytes(row["slots"]), row["m"])
-        np.bitwise_or.at(bitmap, (slot >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
-    return Ranks(np.concatenate(keys), np.concatenate(counts), bitmap)
+        new = np.r_[True, keys[by[1:]] != keys[by[:-1]]]
+        total = np.add.reduceat(counts[by], np.flatnonzero(new))
+        ranks = np.empty(len(keys), np.uint8)
+        ranks[by] = _ranked(total)[np.cumsum(new) - 1]
+        ends = np.cumsum(sizes)
+        blobs = [pa.compress(ranks[e - n : e].tobytes(), codec="zstd", asbytes=True) for e, n in zip(ends, sizes)]
+        return pa.table([table["chunk"], table["part"], table["n"], pa.array(blobs, pa.binary())], names=["chunk", "part", "n", "ranks"])
+
+    blobs = counted.filter(F.col("part").isNotNull()).select("chunk", "part", "n", "blob")
+    back = blobs.groupBy("part").applyInArrow(summed, "chunk bigint, part int, n bigint, ranks binary")
+    return back.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n", "ranks"))).alias("parts"))  # a chunk has BUFFER tokens
 
 
 def _first(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -196,39 +180,43 @@ def _first(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
-def _prefixed(docs: DataFrame, key: str, text: str, width: int, similarity: float, ranks: Ranks, orders: int) -> DataFrame:
-    """Of each document that may have a partner: its id, sums, sketch, whole set, and the prefix tokens in every order."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    kind = docs.schema[key].dataType.simpleString()
-    names = [key, "n", "s1", "s2", "sketch", "tokens", "prefixes"]
+def _prefixed(chunks: DataFrame, width: int, similarity: float, orders: int) -> DataFrame:
+    """Of each document that may have a partner: its row, size, sketch, whole set, and the prefix tokens in every order."""
+    names = ["row", "n", "sketch", "tokens", "prefixes"]
     longs, lists = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
 
+    def one(chunk: int, texts: pa.Array, parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        ranks = np.frombuffer(b"".join(pa.decompress(p["ranks"], decompressed_size=p["n"], codec="zstd", asbytes=True) for p in parts), np.uint8)
+        cut = [(start, *shingles(own, width), len(own)) for start, own in slices(texts)]
+        keys = np.unique(np.concatenate([token for _, _, token, _ in cut]) >> np.uint64(24))
+        for start, owner, token, size in cut:
+            n = np.bincount(owner, minlength=size)
+            rank = ranks[np.searchsorted(keys, token >> np.uint64(24))]
+            first = _first(n, similarity)
+            # With a prefix of tokens that no other document has, there is no partner.
+            alone = np.bincount(owner, weights=rank == 0, minlength=size)
+            ends = np.cumsum(n)
+            cols: list[list] = [[] for _ in names]
+            for i in np.flatnonzero((n > 0) & (alone < first)).tolist():
+                own, r = token[ends[i] - n[i] : ends[i]], rank[ends[i] - n[i] : ends[i]]
+                sketch = np.bincount((own >> np.uint64(9)) & np.uint64(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+                sketch = np.packbits(sketch.astype(np.uint8)).view(">i8").astype(np.int64)
+                prefixes = []
+                for k in range(orders):
+                    by = np.lexsort((mix(own ^ _SEEDS[60 + k]), r))[: first[i]]
+                    prefixes.append(own[by[r[by] > 0]].view(np.int64))
+                for c, v in zip(cols, (chunk + start + i, n[i], sketch, own.view(np.int64), prefixes)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), longs, longs, lists))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                owner, token = shingles(texts, width)
-                n, s1, s2 = _sums(owner, token, len(texts))
-                rank = sent.value.of(token)
-                first = _first(n, similarity)
-                # With a prefix of tokens that no other document has, there is no partner.
-                alone = np.bincount(owner, weights=rank == 0, minlength=len(texts))
-                open_ = np.flatnonzero((n > 0) & (alone < first))
-                ends = np.cumsum(n)
-                cols: list[list] = [[] for _ in names]
-                keys = batch.column(0).slice(start, len(texts))
-                for i in open_.tolist():
-                    own, r = token[ends[i] - n[i] : ends[i]], rank[ends[i] - n[i] : ends[i]]
-                    sketch = np.bincount((own >> np.uint64(9)) & np.uint64(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-                    sketch = np.packbits(sketch.astype(np.uint8)).view(">i8").astype(np.int64)
-                    prefixes = []
-                    for k in range(orders):
-                        by = np.lexsort((mix(own ^ _SEEDS[60 + k]), r))[: first[i]]
-                        prefixes.append(own[by[r[by] > 0]].view(np.int64))
-                    for c, v in zip(cols, (i, n[i], s1[i], s2[i], sketch, own.view(np.int64), prefixes)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], longs), pa.array(cols[5], longs), pa.array(cols[6], lists)], names=names)
-
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>, tokens array<bigint>, prefixes array<array<bigint>>")
+            for i in range(len(batch)):
+                texts = batch.column(1)
+                own = texts.values.slice(texts.offsets[i].as_py(), texts.offsets[i + 1].as_py() - texts.offsets[i].as_py())
+                yield from one(batch.column(0)[i].as_py(), own, batch.column(2)[i].as_py())
+
+    return chunks.select("chunk", "texts", "parts").mapInArrow(run, "row bigint, n bigint, sketch array<bigint>, tokens array<bigint>, prefixes array<array<bigint>>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,82 +242,100 @@ def _differing(x: Column, y: Column) -> Column:
     return total
 
 
-def _plausible(similarity: float, orders: int) -> Column:
-    """Conditions on the two sides x_ and y_ of a candidate that every link meets."""
+def _plausible(similarity: float) -> Column:
+    """Conditions on the two sides x and y of a candidate that every link meets."""
     nx, ny = F.col("x_n"), F.col("y_n")
-    held = (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9) & (_differing(F.col("x_sketch"), F.col("y_sketch")) * (1 + similarity) <= (nx + ny) * (1 - similarity) + 1e-9)
+    return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9) & (_differing(F.col("x_sketch"), F.col("y_sketch")) * (1 + similarity) <= (nx + ny) * (1 - similarity) + 1e-9)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, hundredths: int, orders: int) -> DataFrame:
+    """The pairs (a, b) that share prefix tokens in every order and enough of the whole sets. b's set goes to a's, not the other
+    way round: an a may stand in very many pairs, whose rows are then dealt out."""
+    pairs = written(pairs, "pairs")
+    whole = nodes.select("id", "tokens", "prefixes")
+    held = pairs.join(whole.toDF("b", "_y", "_yp"), "b")
+    both = salted_joined(held, whole.toDF("a", "_x", "_xp"), "a", "b", counted=pairs)
     for k in range(1, orders):
-        held = held & F.arrays_overlap(f"x_p{k}", f"y_p{k}")
-    return held
+        both = both.filter(F.arrays_overlap(F.col("_xp")[k], F.col("_yp")[k]))
+    shared = F.size(F.array_intersect("_x", "_y"))
+    return both.filter(100 * shared >= hundredths * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
 
 
-def joined(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, frequent: int = FREQUENT, bits: int = BITS) -> DataFrame:
+def _side(letter: str, df: DataFrame) -> DataFrame:
+    return df.select("head", *[F.col(c).alias(f"{letter}_{c}") for c in df.columns if c != "head"])
+
+
+def _read(docs: DataFrame, key: str, text: str, width: int, similarity: float, orders: int, buffer: int) -> tuple[DataFrame, ...]:
+    """sets: a row for each document. classes: a row for each set, named by its first row (id), with the least key (rep).
+    nodes: the classes that may have a partner. spread: their buckets, named by the least id in them (head)."""
+    counted = written(_counted(docs, key, text, width, buffer), "shingles")
+    sets = counted.filter(F.col("row").isNotNull()).select("row", key, "h", "n", "s1", "s2")
+    classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep"), F.min("row").alias("id"), F.count("*").alias("_c")), "classes")
+    chunks = counted.filter(F.col("texts").isNotNull()).select("chunk", "texts").join(_ranks(counted), "chunk")
+    found = written(_prefixed(chunks, width, similarity, orders), "prefixes")
+    # One row for each class; copies of a class end here.
+    nodes = written(found.withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi"), "nodes")
+    posted = nodes.select("id", F.explode(F.col("prefixes")[0]).alias("t"))
+    buckets = posted.groupBy("t").agg(F.min("id").alias("head"), F.max("id").alias("_last"), F.count("*").alias("_c")).filter("head < _last").select("t", "head", "_c")
+    spread = hot_joined(posted, written(buckets, "buckets"), ["t"], "_c").select("id", "head").distinct()
+    spread = written(spread.join(nodes.select("id", "n", "sketch"), "id"), "spread")
+    return sets, classes, nodes, spread
+
+
+def links(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, buffer: int = BUFFER) -> tuple[DataFrame, DataFrame]:
+    """All links between classes (a, b), as many rows as there are, and the members of each class (id, key, h)."""
+    hundredths = round(similarity * 100)
+    sets, classes, nodes, spread = _read(docs, key, text, width, hundredths / 100, orders, buffer)
+    every = salted_joined(_side("x", spread), _side("y", spread), "head", "x_id", counted=spread)
+    pairs = every.filter((F.col("x_id") < F.col("y_id")) & _plausible(hundredths / 100)).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+    members = hot_joined(sets.filter("n > 0"), classes.select("s1", "s2", "n", "id", "_c"), ["s1", "s2", "n"], "_c").select("id", key, "h")
+    return _verified(pairs, nodes, hundredths, orders), members
+
+
+def joined(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, buffer: int = BUFFER) -> DataFrame:
     """key, n_shingles, class_id (least id with the same set) and component_id (least id that links reach).
 
     similarity is taken in whole hundredths: a link has 100 * shared >= (hundredths) * union.
     """
-    return _joined(docs, width, similarity, key, text, orders, frequent, bits).drop("s1", "s2")
+    return _joined(docs, width, similarity, key, text, orders, buffer).drop("h", "comp")
 
 
-def _joined(docs: DataFrame, width: int, similarity: float, key: str, text: str, orders: int, frequent: int, bits: int) -> DataFrame:
-    """joined, with the sums of the sets."""
+def _joined(docs: DataFrame, width: int, similarity: float, key: str, text: str, orders: int, buffer: int) -> DataFrame:
+    """joined, with the text's hash and the component's number (null for empty sets)."""
     hundredths = round(similarity * 100)
     similarity = hundredths / 100
-    counted = written(_counted(docs, key, text, width), "shingles")
-    sets = counted.filter(F.col("part").isNull()).select(key, "n", "s1", "s2")
-    classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep")), "classes")
-    ranks = _ranks(counted, frequent, bits)
-    found = written(_prefixed(docs, key, text, width, similarity, ranks, orders), "prefixes")
-    reps = classes.select(F.col("rep").alias(key))
-    # One row for each class; copies of a class end here.
-    nodes = written(found.join(reps, key, "left_semi").dropDuplicates([key]).select(F.col(key).alias("id"), "n", "sketch", "tokens", "prefixes"), "nodes")
-    posted = nodes.select("id", F.posexplode("prefixes").alias("k", "p")).select("id", "k", F.explode("p").alias("t"))
-    buckets = posted.groupBy("k", "t").agg(F.min("id").alias("head"), F.max("id").alias("_last")).filter("head < _last").select("k", "t", "head")
-    heads = written(posted.join(buckets, ["k", "t"]).select("id", "k", "head").distinct(), "heads")
-    sides = heads.groupBy("id").agg(*[F.collect_set(F.when(F.col("k") == k, F.col("head"))).alias(f"p{k}") for k in range(orders)])
-    for k in range(orders):  # a prefix token shared in every order
-        sides = sides.filter(F.size(f"p{k}") > 0)
-    sides = written(nodes.select("id", "n", "sketch").join(sides, "id"), "sides")
-
-    def side(letter: str, df: DataFrame) -> DataFrame:
-        return df.select([F.col(c).alias(f"{letter}_{c}") for c in df.columns])
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        whole = nodes.select("id", "tokens")
-        both = pairs.join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b")
-        shared = F.size(F.array_intersect("_x", "_y"))
-        return both.filter(100 * shared >= hundredths * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
-
-    plausible = _plausible(similarity, orders)
-    spread = sides.withColumn("head", F.explode("p0"))
-    star = side("x", spread).join(side("y", sides), (F.col("x_head") == F.col("y_id")) & (F.col("x_id") != F.col("y_id")) & plausible)
-    stars = written(verified(star.select(F.col("y_id").alias("a"), F.col("x_id").alias("b")).distinct()), "stars")
-    part = components(stars)
-    placed = spread.join(part.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = written(placed.select("id", "n", "sketch", *[f"p{k}" for k in range(1, orders)], "head", "comp"), "placed")
-    mixed = placed.groupBy("head").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("head")
-    rest = placed.join(mixed, "head", "left_semi")
-    cross = side("x", rest).join(side("y", rest), (F.col("x_head") == F.col("y_head")) & (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & plausible)
-    crossed = written(verified(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()), "crossed")
-    whole = components(stars.unionByName(crossed))
-    out = sets.join(classes, ["s1", "s2", "n"], "left").join(whole.toDF("rep", "c"), "rep", "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("rep", key).alias("class_id"), F.coalesce("c", "rep", key).alias("component_id"), "s1", "s2")
-
-
-def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, frequent: int = FREQUENT, bits: int = BITS) -> DataFrame:
-    """The rows of docs with the least id of each component, all columns kept. Ids are taken to name rows: of rows with one id one stays.
-
-    Of rows without an id, one of each set that no row with an id has stays, and all without words; they have no near copies.
-    """
-    found = _joined(docs, width, similarity, key, text, orders, frequent, bits)
-    kept = found.filter(F.col("component_id") == F.col(key)).select(key).distinct()
-    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    unnamed = docs.filter(F.col(key).isNull())
-    counted = _counted(unnamed.filter(F.col(text).isNotNull()), text, text, width)  # the text names the row
-    own = written(counted.filter(F.col("part").isNull() & (F.col("n") > 0)).select(F.col(text), F.col("n").alias("n_shingles"), "s1", "s2").distinct(), "unnamed")
-    on = ["n_shingles", "s1", "s2"]
-    new = own.join(found.filter(F.col(key).isNotNull()).select(*on), on, "left_anti").groupBy(*on).agg(F.min(text).alias(text)).select(text)
-    return named.unionByName(unnamed.join(new, text, "left_semi").dropDuplicates([text])).unionByName(unnamed.join(own.select(text), text, "left_anti")).select(docs.columns)
+    sets, classes, nodes, spread = _read(docs, key, text, width, similarity, orders, buffer)
+    sizes = spread.groupBy("head").agg(F.count("*").alias("_c"))
+    heads = written(_side("y", nodes.select(F.col("id").alias("head"), "n", "sketch").join(sizes, "head")), "heads")
+    star = hot_joined(_side("x", spread).filter("x_id <> head"), heads, ["head"], "y__c").filter(_plausible(similarity))
+    stars = written(_verified(star.select(F.col("head").alias("a"), F.col("x_id").alias("b")), nodes, hundredths, orders), "stars")
+    part = components(stars).toDF("id", "comp")
+    placed = written(spread.join(part, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+    mixed = placed.groupBy("head").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("head", "_c")
+    rest = written(hot_joined(placed, written(mixed, "mixed"), ["head"], "_c"), "rest")
+    cross = salted_joined(_side("x", rest), _side("y", rest), "head", "x_id", counted=rest)
+    cross = cross.filter((F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _plausible(similarity))
+    crossed = written(_verified(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), nodes, hundredths, orders), "crossed")
+    whole = components(stars.unionByName(crossed)).toDF("id", "comp")
+    grouped = written(classes.join(whole, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "grouped")
+    least = written(grouped.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("_m")), "least")
+    named = written(hot_joined(grouped, least, ["comp"], "_m").select("s1", "s2", "n", "rep", "comp", "least", "_c"), "named")
+    on = ["s1", "s2", "n"]
+    full = hot_joined(sets.filter("n > 0"), named, on, "_c").select(key, "h", F.col("n").alias("n_shingles"), F.coalesce("rep", key).alias("class_id"), F.coalesce("least", "rep", key).alias("component_id"), "comp")
+    empty = sets.filter("n = 0").select(key, "h", F.col("n").alias("n_shingles"), F.col(key).alias("class_id"), F.col(key).alias("component_id"), F.lit(None).cast("bigint").alias("comp"))
+    return full.unionByName(empty)
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, buffer: int = BUFFER) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the least id (of those with one id, or none, that of the
+    least hash of the text). Rows without words are in no component and all stay."""
+    found = _joined(docs, width, similarity, key, text, orders, buffer)
+    first = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("_x"), F.col(key).alias("_k"), F.col("h").alias("_h"))).alias("_one"))
+    first = written(first.select("_one.*"), "kept")
+    rows = docs.withColumn("__q_h", _named(text))
+    wordless = F.coalesce(F.length(F.translate(F.col(text), SPACES, "")) == 0, F.lit(True))
+    kept = rows.filter(~wordless).join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("__q_h") == F.col("_h")), "left_semi").dropDuplicates([key, "__q_h"])
+    return kept.unionByName(rows.filter(wordless)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

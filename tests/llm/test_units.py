@@ -85,7 +85,7 @@ def test_near_copies_in_one_large_group(spark):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for small in ({}, {"frequent": 4, "bits": 64}):  # the tables' bounds touch only the work
+    for small in ({}, {"buffer": 100}):  # one chunk or many
         got = {r.doc_id: r.component_id for r in ngram_join.joined(df, width=3, similarity=0.9, **small).collect()}
         assert got == {k: find(k) for k in range(80)}
 
@@ -168,3 +168,20 @@ def test_toxicity_learns_word_beginnings():
 def test_units_join_to_the_text(spark):
     df = table(spark).filter("text is not null")
     assert df.filter(F.array_join(line_dedup.units(F.col("text")), "") != F.col("text")).count() == 0
+
+
+def test_one_id_on_two_texts_loses_no_link(spark):
+    """Brute force: links are between texts, an id only names them."""
+    rng = random.Random(9)
+    a, b, c = (" ".join("".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(200)) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a + " word"), (9, b + " word"), (None, c), (None, c + " word"), (2**60 + 1, c + " other"), (11, ""), (11, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(df, width=3, similarity=0.9).collect()), key=str)
+    big = 2**60 + 1
+    assert got == sorted([(5, 198, 5), (5, 198, 5), (7, 199, 5), (9, 199, 5), (None, 198, big), (None, 199, big), (big, 199, big), (11, 0, 11), (11, 0, 11)], key=str)
+    kept = [(r.doc_id, r.text) for r in ngram_join.deduplicated(df, width=3, similarity=0.9).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (big, c + " other"), (11, ""), (11, " ")], key=str)
+    pairs, members = ngram_join.links(df, width=3, similarity=0.9)
+    text = {r.id: r.h for r in members.collect()}
+    h = {t: x for t, x in df.selectExpr("text", "xxhash64(text)").collect()}
+    assert {frozenset((text[r.a], text[r.b])) for r in pairs.collect()} == {frozenset((h[x], h[y])) for x, y in ((a, a + " word"), (b, b + " word"), (c, c + " word"), (c, c + " other"), (c + " word", c + " other"))}
