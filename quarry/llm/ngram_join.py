@@ -39,6 +39,8 @@ from quarry.operators.joins import estimated_bytes
 ORDERS = 3
 #: Tokens of a chunk, which a task counts at once (a longer text is a chunk of its own).
 BUFFER = 750_000
+#: Chunks that one task works on, one at a time, where there are many.
+CHUNKS = 4
 #: Estimated bytes of text whose tokens are summed up in one task.
 RANGE = 4 << 20
 #: Longs of the parity sketch.
@@ -271,7 +273,10 @@ def _read(docs: DataFrame, key: str, text: str, width: int, similarity: float, o
     counted = written(_counted(docs, key, text, width, buffer), "shingles")
     sets = counted.filter(F.col("row").isNotNull()).select("row", key, "h", "n", "s1", "s2")
     classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep"), F.min("row").alias("id"), F.count("*").alias("_c")), "classes")
-    chunks = counted.filter(F.col("texts").isNotNull()).select("chunk", "texts").join(_ranks(counted), "chunk")
+    chunks = counted.filter(F.col("texts").isNotNull()).select("chunk", "texts")
+    n = chunks.select("chunk").count()
+    tasks = max(1, min(n, 64), n // CHUNKS)
+    chunks = chunks.repartition(tasks, "chunk").join(_ranks(counted).repartition(tasks, "chunk"), "chunk")
     found = written(_prefixed(chunks, width, similarity, orders), "prefixes")
     # One row for each class; copies of a class end here.
     nodes = written(found.withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi"), "nodes")
