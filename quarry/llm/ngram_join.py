@@ -108,20 +108,29 @@ def _ranked(amount: np.ndarray) -> np.ndarray:
     return np.where(amount > 1, np.minimum(1 + 8 * np.log2(np.maximum(amount, 1)), 255), 0).astype(np.uint8)
 
 
+def _stored(texts: list[pa.Array]) -> bytes:
+    """The texts, compressed."""
+    out = pa.BufferOutputStream()
+    table = pa.table({"t": pa.chunked_array(texts)})
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
 def _counted(docs: DataFrame, key: str, text: str, width: int, buffer: int) -> DataFrame:
-    """Three kinds of rows: of each document (row, key, h, n, s1, s2; row is its number, h its text's hash), of each chunk
-    (chunk, texts; the documents' rows are chunk, chunk + 1, ...), and packed counts of a chunk's tokens by hash range
+    """Three kinds of rows: of each document (row, key, h, n, s1, s2, chunk; row is its number, h its text's hash), of each
+    chunk (chunk, texts; the documents' rows are chunk, chunk + 1, ...), and packed counts of a chunk's tokens by hash range
     (chunk, part, n, blob)."""
     kind = docs.schema[key].dataType.simpleString()
     ranges = 1 << min(16, max(4, (estimated_bytes(docs.select(text)) // RANGE).bit_length()))
     shift = np.uint64(40 - ranges.bit_length() + 1)
-    fields = [("row", pa.int64()), (key, None), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int64()), ("texts", pa.list_(pa.string())), ("part", pa.int32()), ("blob", pa.binary())]
+    fields = [("row", pa.int64()), (key, None), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("chunk", pa.int64()), ("texts", pa.binary()), ("part", pa.int32()), ("blob", pa.binary())]
 
     def batch_of(types: pa.DataType, size: int, **columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get("k" if t is None else c, pa.nulls(size, t or types)) for c, t in fields], names=[c for c, _ in fields])
 
     def counts(types: pa.DataType, chunk: int, texts: list[pa.Array], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield batch_of(types, 1, chunk=pa.array([chunk], pa.int64()), texts=pa.array([[x for t in texts for x in t.to_pylist()]], pa.list_(pa.string())))
+        yield batch_of(types, 1, chunk=pa.array([chunk], pa.int64()), texts=pa.array([_stored(texts)], pa.binary()))
         keys, amount = np.unique(np.concatenate(tokens) >> np.uint64(24), return_counts=True)
         part = (keys >> shift).astype(np.int64)
         some = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.empty(0, np.int64)
@@ -137,7 +146,7 @@ def _counted(docs: DataFrame, key: str, text: str, width: int, buffer: int) -> D
             for start, own in slices(batch.column(1)):
                 owner, token = shingles(own, width)
                 n, s1, s2 = _sums(owner, token, len(own))
-                yield batch_of(types, len(own), row=pa.array(np.arange(row, row + len(own))), k=batch.column(0).slice(start, len(own)), h=batch.column(2).slice(start, len(own)), n=pa.array(n, pa.int64()), s1=pa.array(s1), s2=pa.array(s2))
+                yield batch_of(types, len(own), row=pa.array(np.arange(row, row + len(own))), chunk=pa.array([chunk] * len(own), pa.int64()), k=batch.column(0).slice(start, len(own)), h=batch.column(2).slice(start, len(own)), n=pa.array(n, pa.int64()), s1=pa.array(s1), s2=pa.array(s2))
                 row += len(own)
                 texts.append(own)
                 tokens.append(token)
@@ -148,7 +157,7 @@ def _counted(docs: DataFrame, key: str, text: str, width: int, buffer: int) -> D
         if texts:
             yield from counts(types, chunk, texts, tokens)
 
-    schema = f"row bigint, `{key}` {kind}, h bigint, n bigint, s1 bigint, s2 bigint, chunk bigint, texts array<string>, part int, blob binary"
+    schema = f"row bigint, `{key}` {kind}, h bigint, n bigint, s1 bigint, s2 bigint, chunk bigint, texts binary, part int, blob binary"
     return docs.select(key, text, _named(text).alias("h")).mapInArrow(run, schema)
 
 
@@ -183,11 +192,12 @@ def _first(n: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _prefixed(chunks: DataFrame, width: int, similarity: float, orders: int) -> DataFrame:
-    """Of each document that may have a partner: its row, size, sketch, whole set, and the prefix tokens in every order."""
-    names = ["row", "n", "sketch", "tokens", "prefixes"]
+    """Of the rows of each chunk that stand for a class (ids) and may have a partner: id, size, sketch, whole set, and the
+    prefix tokens in every order."""
+    names = ["id", "n", "sketch", "tokens", "prefixes"]
     longs, lists = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
 
-    def one(chunk: int, texts: pa.Array, parts: list[dict]) -> Iterator[pa.RecordBatch]:
+    def one(chunk: int, texts: pa.Array, parts: list[dict], ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(b"".join(pa.decompress(p["ranks"], decompressed_size=p["n"], codec="zstd", asbytes=True) for p in parts), np.uint8)
         cut = [(start, *shingles(own, width), len(own)) for start, own in slices(texts)]
         keys = np.unique(np.concatenate([token for _, _, token, _ in cut]) >> np.uint64(24))
@@ -197,9 +207,9 @@ def _prefixed(chunks: DataFrame, width: int, similarity: float, orders: int) ->
             first = _first(n, similarity)
             # With a prefix of tokens that no other document has, there is no partner.
             alone = np.bincount(owner, weights=rank == 0, minlength=size)
-            ends = np.cumsum(n)
+            ends, wanted = np.cumsum(n), np.isin(np.arange(chunk + start, chunk + start + size), ids)
             cols: list[list] = [[] for _ in names]
-            for i in np.flatnonzero((n > 0) & (alone < first)).tolist():
+            for i in np.flatnonzero(wanted & (alone < first)).tolist():
                 own, r = token[ends[i] - n[i] : ends[i]], rank[ends[i] - n[i] : ends[i]]
                 sketch = np.bincount((own >> np.uint64(9)) & np.uint64(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
                 sketch = np.packbits(sketch.astype(np.uint8)).view(">i8").astype(np.int64)
@@ -213,12 +223,11 @@ def _prefixed(chunks: DataFrame, width: int, similarity: float, orders: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                texts = batch.column(1)
-                own = texts.values.slice(texts.offsets[i].as_py(), texts.offsets[i + 1].as_py() - texts.offsets[i].as_py())
-                yield from one(batch.column(0)[i].as_py(), own, batch.column(2)[i].as_py())
+            for chunk, texts, parts, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                own = pa.ipc.open_stream(texts).read_all()["t"].combine_chunks()
+                yield from one(chunk, own, parts, np.array(ids, dtype=np.int64))
 
-    return chunks.select("chunk", "texts", "parts").mapInArrow(run, "row bigint, n bigint, sketch array<bigint>, tokens array<bigint>, prefixes array<array<bigint>>")
+    return chunks.select("chunk", "texts", "parts", "ids").mapInArrow(run, "id bigint, n bigint, sketch array<bigint>, tokens array<bigint>, prefixes array<array<bigint>>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,15 +280,16 @@ def _read(docs: DataFrame, key: str, text: str, width: int, similarity: float, o
     """sets: a row for each document. classes: a row for each set, named by its first row (id), with the least key (rep).
     nodes: the classes that may have a partner. spread: their buckets, named by the least id in them (head)."""
     counted = written(_counted(docs, key, text, width, buffer), "shingles")
-    sets = counted.filter(F.col("row").isNotNull()).select("row", key, "h", "n", "s1", "s2")
-    classes = written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep"), F.min("row").alias("id"), F.count("*").alias("_c")), "classes")
+    sets = counted.filter(F.col("row").isNotNull()).select("row", key, "h", "n", "s1", "s2", "chunk")
+    # One row for each class; copies of a class end here.
+    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min(key).alias("rep"), F.min("row").alias("id"), F.min("chunk").alias("chunk"), F.count("*").alias("_c"))
+    classes = written(classes, "classes")  # the least row is in the least chunk
+    ids = classes.groupBy("chunk").agg(F.collect_list("id").alias("ids"))
     chunks = counted.filter(F.col("texts").isNotNull()).select("chunk", "texts")
     n = chunks.select("chunk").count()
     tasks = max(1, min(n, 64), n // CHUNKS)
-    chunks = chunks.repartition(tasks, "chunk").join(_ranks(counted).repartition(tasks, "chunk"), "chunk")
-    found = written(_prefixed(chunks, width, similarity, orders), "prefixes")
-    # One row for each class; copies of a class end here.
-    nodes = written(found.withColumnRenamed("row", "id").join(classes.select("id"), "id", "left_semi"), "nodes")
+    held = _ranks(counted).join(ids, "chunk").repartition(tasks, "chunk")
+    nodes = written(_prefixed(chunks.repartition(tasks, "chunk").join(held, "chunk"), width, similarity, orders), "nodes")
     posted = nodes.select("id", F.explode(F.col("prefixes")[0]).alias("t"))
     buckets = posted.groupBy("t").agg(F.min("id").alias("head"), F.max("id").alias("_last"), F.count("*").alias("_c")).filter("head < _last").select("t", "head", "_c")
     spread = hot_joined(posted, written(buckets, "buckets"), ["t"], "_c").select("id", "head").distinct()
