@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.sources.kept import shared_dir, written
 
-__all__ = ["SPACES", "WORD", "bound", "documents", "hot_joined", "removed", "salted_joined", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "WORD", "bound", "documents", "hot_joined", "islands", "named", "removed", "salted_joined", "shared_dir", "table", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,13 +46,27 @@ def hot_joined(many: DataFrame, one: DataFrame, on: list[str], count: str) -> Da
     return many.join(hot, on).unionByName(many.join(hot.select(*on), on, "left_anti").join(one.join(hot.select(*on), on, "left_anti"), on))
 
 
-def salted_joined(many: DataFrame, one: DataFrame, on: str, by: str, counted: DataFrame) -> DataFrame:
+def salted_joined(many: DataFrame, one: DataFrame, on: str, by: Column | str, counted: DataFrame, how: str = "inner") -> DataFrame:
     """many joined with one, whose rows may be wide: those of the HOT most frequent keys of `counted` (stored rows with the
     keys of many) are copied, and the rows of many dealt out among the copies by `by`. HOT further copies at most are made of
-    the rows of one."""
-    share = counted.select(F.floor(F.count("*") / HOT).alias("n") + 1).scalar()
+    the rows of one. how: inner or left."""
+    share = counted.select((F.floor(F.count("*") / HOT) + 1).alias("n")).scalar()
     hot = counted.groupBy(on).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), on).limit(HOT)
     hot = F.broadcast(written(hot.select(on, (F.floor(F.col("_c") / share) + 1).cast("int").alias("_salts")).filter("_salts > 1"), "hot"))
     left = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
     right = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [on, "_salt"]).drop("_salt")
+    return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+def named(key: str, text: str) -> Column:
+    """What names a text, in the order of texts: its id (null last), and its hash, as an id may stand for several."""
+    return F.struct(F.col(key).isNull().alias("x"), F.col(key).alias("d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+
+
+def islands(found: DataFrame, gap: int) -> DataFrame:
+    """o and runs: the spans (o, s, e) of each text as disjoint runs (start, end) in order; spans less than gap apart are one."""
+    by = Window.partitionBy("o").orderBy("s", "e")
+    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = found.distinct().withColumn("_new", F.when(reach >= F.col("s") - gap, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = numbered.groupBy("o", "_i").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    return merged.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))

@@ -2,33 +2,33 @@
 
 Units are the lines of a text, and the sentences of a line. A window is the shortest run of units from a unit on that
 has MIN_WORDS words, or the shortest such run that ends the text; its fingerprint is the least unit hash in it, so that equal runs of so many words always share a
-fingerprint. Windows are kept by runs of equal fingerprint; those whose fingerprint occurs once go no further. Of the
-others, equal windows are matched with their first occurrence (least id, then place), and adjoining matches extend each
-other both ways into maximal runs, which are deleted wherever they are not the first.
+fingerprint. Only the minima are kept: a row for each run of windows with one minimum, with its place and a signature of
+what the windows hold. Minima that occur again are joined: where the signatures agree, the later run goes as a whole. Of
+the first run of each signature, and only where its minimum has other signatures as well, the windows are taken from the
+text again and matched one by one with their first occurrence. Adjoining matches extend each other both ways into maximal
+runs, which are deleted wherever they are not the first.
 
 So a unit is deleted if and only if it lies in a window that has occurred before; what follows the last whole window of a
 repeated run, less than MIN_WORDS words, stays if other text follows it. (Where a text repeats itself and the
 occurrences overlap, the first one stays whole.) Words are counted by spaces, a unit counts one at least.
 
-Nulls stay null; texts without a window are left alone; rows whose id is null are left as they are and match nothing; rows
-of equal id and text are deleted from alike; an empty table gives no rows; other columns are kept (one named
-n_gone is replaced).
+The order of texts is that of their ids (null last), then of their hashes: texts are told apart by both, so one id may stand
+for several. Nulls stay null; texts without a window are left alone; rows of equal id (or none) and text are one text and
+deleted from alike; an empty table gives no rows; other columns are kept (one named n_gone is replaced).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bound, written
+from quarry.llm.common import bound, hot_joined, islands, named, salted_joined, written
 
 #: A passage of over 50 words in the midst of a line loses its first sentence to what stands before it there; the rest of it
 #: has to be enough.
 MIN_WORDS = 20
 #: Marks the cuts; texts that have it are cut by a pattern instead.
 CUT = "\x01"
-#: Windows that are broadcast (50 bytes each).
-HOT = 1000
 ENDS = ("\n", ". ", "! ", "? ")
 BLANK = " \t\n\r"
 
@@ -106,32 +106,40 @@ def _runs(windows: Column) -> Column:
     return bound(windows, lambda w: F.when(F.size(w) > 0, of(w)))
 
 
-def _matched(spans: DataFrame, firsts: DataFrame) -> DataFrame:
-    """spans with the first occurrence of each. The HOT most frequent windows are broadcast, so that no task gets all rows of one
-    of them; any other window has less than 1 / HOT of the rows."""
-    on = ["f", "h"]
-    hot = F.broadcast(firsts.orderBy(F.desc("_c"), *on).limit(HOT).drop("_c"))
-    cold = spans.join(hot, on, "left_anti").join(firsts.drop("_c").join(hot, on, "left_anti"), on)
-    return spans.join(hot, on).unionByName(cold)
-
-
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """key and gone: the disjoint runs (start, end) of units to delete, in order."""
-    some = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("d"), F.col(text).alias("t"))
-    runs = some.select("d", F.explode(_runs(_windows(F.col("t"), min_words))).alias("r")).select("d", "r.f", "r.ws")
-    runs = written(runs, "winnowed")
-    again = F.max(F.size(F.array_distinct(F.transform("ws", lambda x: x["h"]))) < F.size("ws"))
-    common = runs.groupBy("f").agg(F.count("*").alias("_c"), again.alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f")
-    spans = written(runs.join(common, "f").select("f", "d", F.explode("ws").alias("w")).select("f", "d", "w.h", "w.p", "w.n"), "spans")
-    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("d", "p", "n")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
-    later = _matched(spans, written(firsts, "firsts")).filter((F.col("d") != F.col("_one.d")) | (F.col("p") != F.col("_one.p")))
-    start = F.when(F.col("d") == F.col("_one.d"), F.greatest("p", F.col("_one.p") + F.col("_one.n"))).otherwise(F.col("p"))
-    found = later.select("d", start.alias("s"), (F.col("p") + F.col("n") - 1).alias("e")).filter("s <= e").distinct()
-    by = Window.partitionBy("d").orderBy("s", "e")
-    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("_new", F.when(reach >= F.col("s") - 1, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("d", "_i").agg(F.min("s").alias("start"), F.max("e").alias("end"))
-    return merged.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")).withColumnRenamed("d", key)
+def _winnowed(texts: DataFrame, min_words: int) -> DataFrame:
+    """o, f, sig, p, e and again of each run of windows of fingerprint f: its units p to e, and whether it repeats itself."""
+    runs = texts.select("o", F.explode(_runs(_windows(F.col("t"), min_words))).alias("r")).select("o", "r.f", "r.ws")
+    hashes = F.transform("ws", lambda x: x["h"])
+    last = F.element_at("ws", -1)
+    return runs.select("o", "f", F.xxhash64(hashes).alias("sig"), F.col("ws")[0]["p"].alias("p"), (last["p"] + last["n"] - 1).alias("e"), (F.size(F.array_distinct(hashes)) < F.size("ws")).alias("again"))
+
+
+def _opened(texts: DataFrame, wanted: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """o, f, h, p and n of the windows of the wanted runs (o, p, f), from the texts."""
+    marks = wanted.distinct().groupBy("o").agg(F.collect_set(F.struct("p", "f")).alias("ps"))
+    found = salted_joined(texts, marks, "o", F.monotonically_increasing_id(), counted=runs.filter("p = 0"))
+    some = F.filter(_runs(_windows(F.col("t"), min_words)), lambda r: F.array_contains(F.col("ps"), F.struct(r["ws"][0]["p"].alias("p"), r["f"].alias("f"))))
+    return found.select("o", F.explode(some).alias("r")).select("o", "r.f", F.explode("r.ws").alias("w")).select("o", "f", "w.h", "w.p", "w.n")
+
+
+def _repeats(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """o and runs: the runs (start, end) of units to delete; and the stored minima."""
+    runs = written(_winnowed(texts, min_words), "winnowed")
+    classes = runs.groupBy("f", "sig").agg(F.min(F.struct("o", "p")).alias("_one"), F.count("*").alias("_c"), F.max("again").alias("_again"))
+    classes = written(classes, "classes")
+    shared = classes.groupBy("f").agg(F.count("*").alias("_m"), F.max("_again").alias("_again")).filter((F.col("_m") > 1) | F.col("_again"))
+    copies = hot_joined(runs, classes.filter("_c > 1").drop("_again"), ["f", "sig"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("p") != F.col("_one.p")))
+    copies = written(copies.select("o", "f", "p", "e", "_one", (F.col("o") == F.col("_one.o")).alias("own")), "copies")
+    own, firsts = copies.filter("own"), F.struct("_one.o", "_one.p")
+    wanted = hot_joined(classes.select("f", "_one"), written(shared.select("f", "_m"), "shared"), ["f"], "_m").select("_one.o", "_one.p", "f")
+    wanted = wanted.unionByName(own.select("o", "p", "f")).unionByName(own.select(firsts.alias("_one"), "f").select("_one.o", "_one.p", "f"))
+    spans = written(_opened(texts, wanted, runs, min_words), "spans")
+    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("o", "p", "n")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
+    later = hot_joined(spans, written(firsts, "firsts"), ["f", "h"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("p") != F.col("_one.p")))
+    start = F.when(F.col("o") == F.col("_one.o"), F.greatest("p", F.col("_one.p") + F.col("_one.n"))).otherwise(F.col("p"))
+    found = later.select("o", start.alias("s"), (F.col("p") + F.col("n") - 1).alias("e")).filter("s <= e")
+    whole = copies.filter(~F.col("own")).select("o", F.col("p").alias("s"), "e")
+    return islands(found.unionByName(whole), 1), runs
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -150,8 +158,12 @@ def without(text: Column, gone: Column) -> Column:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, length: str | None = None) -> DataFrame:
     """docs with later repeated runs deleted from the text, and `n_gone` units deleted. length: a column with the number of characters, kept true."""
-    gone = repeats(docs, key, text, min_words)
-    out = docs.join(gone.withColumnRenamed("gone", "__q_gone"), key, "left")
+    texts = docs.filter(F.col(text).isNotNull()).select(named(key, text).alias("o"), F.col(text).alias("t"))
+    gone, runs = _repeats(texts, min_words)
+    rows = docs.withColumn("__q_o", named(key, text))
+    counted = runs.filter("p = 0").withColumnRenamed("o", "__q_o")
+    out = salted_joined(rows, gone.toDF("__q_o", "__q_gone"), "__q_o", F.monotonically_increasing_id(), counted, "left").drop("__q_o")
+    out = out.withColumn("__q_gone", F.when(F.col(text).isNotNull(), F.col("__q_gone")))
     count = F.coalesce(F.aggregate("__q_gone", F.lit(0), lambda a, x: a + x["end"] - x["start"] + 1), F.lit(0)).cast("long")
     out = out.withColumns({text: without(F.col(text), F.col("__q_gone")), "n_gone": count}).drop("__q_gone")
     if length:

@@ -2,12 +2,13 @@
 
 A window is LEAST words in a row wherever they start; its fingerprint is the least hash of the GRAM-word runs in it, so that equal
 windows always share one. Of each text the fingerprints are kept first; only windows whose fingerprint occurs again are hashed whole
-and matched with their first occurrence (least id, then place). A word is deleted if and only if it lies in a window that has
+and matched with their first occurrence (least text, then place). A word is deleted if and only if it lies in a window that has
 occurred before. (Where a text repeats itself and the occurrences overlap, the first one stays whole.)
 
-Words are runs of anything but ASCII white space; the blank after a deleted run goes with it, line ends stay. Nulls stay null;
-texts of fewer words are left alone; rows whose id is null are left as they are and match nothing; ids are taken to name texts, and
-rows of equal id and text are deleted from alike; an empty table gives no rows; other columns are kept (one named n_cut is replaced).
+Words are runs of anything but ASCII white space; the blank after a deleted run goes with it, line ends stay. The order of texts is
+that of their ids (null last), then of their hashes: texts are told apart by both. Nulls stay null; texts of fewer words are left
+alone; rows of equal id (or none) and text are one text and deleted from alike; an empty table gives no rows; other columns are kept
+(one named n_cut is replaced).
 """
 
 from __future__ import annotations
@@ -16,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import flat, slices
-from quarry.llm.common import bound, written
-from quarry.llm.line_dedup import _matched
+from quarry.llm.common import bound, hot_joined, islands, named, salted_joined, written
 from quarry.llm.wordhash import BASE, hashes, mix, powers, words
 
 #: Words of a window (a passage of over 50 words has one), and of the runs that give its fingerprint.
@@ -61,8 +61,8 @@ def windows(texts: pa.Array, least: int = LEAST, gram: int = GRAM) -> tuple[np.n
 
 
 def _fingerprints(some: DataFrame, least: int, gram: int) -> DataFrame:
-    """d, f and again (f is met twice in the run) of each run of windows of equal fingerprint."""
-    kind = some.schema["d"].dataType.simpleString()
+    """o, f and again (f is met twice in the run) of each run of windows of equal fingerprint."""
+    kind = some.schema["o"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,14 +76,14 @@ def _fingerprints(some: DataFrame, least: int, gram: int) -> DataFrame:
                 place = np.repeat(own[new] - upto + size, size) + np.arange(upto[-1])
                 met = np.add.reduceat(grams[place].view(np.int64) == np.repeat(f[new], size), upto - size, dtype=np.int64)
                 ids = batch.column(0).take(pa.array(start + text[new], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(f[new], pa.int64()), pa.array(met > 1)], names=["d", "f", "again"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(f[new], pa.int64()), pa.array(met > 1)], names=["o", "f", "again"])
 
-    return some.select("d", "t").mapInArrow(run, f"d {kind}, f bigint, again boolean")
+    return some.select("o", "t").mapInArrow(run, f"o {kind}, f bigint, again boolean")
 
 
 def _spans(marked: DataFrame, least: int, gram: int) -> DataFrame:
-    """d, f, h, s and e of the windows whose fingerprint is among fs."""
-    kind = marked.schema["d"].dataType.simpleString()
+    """o, f, h, s and e of the windows whose fingerprint is among fs."""
+    kind = marked.schema["o"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,27 +93,21 @@ def _spans(marked: DataFrame, least: int, gram: int) -> DataFrame:
                 for i in range(len(texts)):
                     keep[cut[i] : cut[i + 1]] = np.isin(rest[0][cut[i] : cut[i + 1]], batch.column(2)[start + i].values.to_numpy())
                 ids = batch.column(0).take(pa.array(start + text[keep], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c[keep], pa.int64()) for c in rest]], names=["d", "f", "h", "s", "e"])
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c[keep], pa.int64()) for c in rest]], names=["o", "f", "h", "s", "e"])
 
-    return marked.select("d", "t", "fs").mapInArrow(run, f"d {kind}, f bigint, h bigint, s bigint, e bigint")
+    return marked.select("o", "t", "fs").mapInArrow(run, f"o {kind}, f bigint, h bigint, s bigint, e bigint")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """key and cut: the disjoint runs (start, end) of UTF-8 bytes to delete, in order."""
-    some = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("d"), F.col(text).alias("t"))
+def _repeats(some: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """o and runs: the runs (start, end) of UTF-8 bytes to delete; and the stored fingerprints."""
     kept = written(_fingerprints(some, least, gram), "fingerprints")
-    common = kept.groupBy("f").agg(F.count("*").alias("_c"), F.max("again").alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f")
-    marks = kept.join(common, "f", "left_semi").groupBy("d").agg(F.collect_set("f").alias("fs"))
-    spans = written(_spans(some.join(marks, "d"), least, gram), "spans")
-    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("d", "s", "e")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
-    later = _matched(spans, written(firsts, "firsts")).filter((F.col("d") != F.col("_one.d")) | (F.col("s") != F.col("_one.s")))
-    start = F.when(F.col("d") == F.col("_one.d"), F.greatest("s", "_one.e")).otherwise(F.col("s"))
-    found = later.select("d", start.alias("s"), "e").filter("s < e").distinct()
-    by = Window.partitionBy("d").orderBy("s", "e")
-    reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = found.withColumn("_new", F.when(reach >= F.col("s"), 0).otherwise(1)).withColumn("_i", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("d", "_i").agg(F.min("s").alias("start"), F.max("e").alias("end"))
-    return merged.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut")).withColumnRenamed("d", key)
+    common = kept.groupBy("f").agg(F.count("*").alias("_c"), F.max("again").alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f", "_c")
+    marks = hot_joined(kept, written(common, "common"), ["f"], "_c").groupBy("o").agg(F.collect_set("f").alias("fs"))
+    spans = written(_spans(salted_joined(some, marks, "o", F.monotonically_increasing_id(), counted=kept), least, gram), "spans")
+    firsts = spans.groupBy("f", "h").agg(F.min(F.struct("o", "s", "e")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
+    later = hot_joined(spans, written(firsts, "firsts"), ["f", "h"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("s") != F.col("_one.s")))
+    start = F.when(F.col("o") == F.col("_one.o"), F.greatest("s", "_one.e")).otherwise(F.col("s"))
+    return islands(later.select("o", start.alias("s"), "e").filter("s < e"), 0), kept
 
 
 def without(text: Column, cut: Column) -> Column:
@@ -130,10 +124,14 @@ def without(text: Column, cut: Column) -> Column:
     return F.when(cut.isNull(), text).otherwise(bound(text.cast("binary"), of))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, **how) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """docs with later occurrences of passages deleted from the text, and `n_cut` runs deleted. length: a column with the number of
     characters, kept true. docs is read twice; best a stored table."""
-    out = docs.join(repeats(docs, key, text, **how).withColumnRenamed("cut", "__q_cut"), key, "left")
+    some = docs.filter(F.col(text).isNotNull()).select(named(key, text).alias("o"), F.col(text).alias("t"))
+    cut, kept = _repeats(some, least, gram)
+    rows = docs.withColumn("__q_o", named(key, text))
+    out = salted_joined(rows, cut.toDF("__q_o", "__q_cut"), "__q_o", F.monotonically_increasing_id(), kept.withColumnRenamed("o", "__q_o"), "left").drop("__q_o")
+    out = out.withColumn("__q_cut", F.when(F.col(text).isNotNull(), F.col("__q_cut")))
     count = F.when(F.col("__q_cut").isNull(), F.lit(0)).otherwise(F.size("__q_cut")).cast("long")
     out = out.withColumns({text: without(F.col(text), F.col("__q_cut")), "n_cut": count}).drop("__q_cut")
     if length:
