@@ -1,13 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches, built and peeled by built-in functions alone.
 
-A text is a set of paragraph digests (64 bits; a paragraph is a line, a long one is cut every PIECE characters). Each digest
-goes to one cell in each of three parts of a table; a cell holds a count, the xor of its digests and the xor of their
-checksums. Tables of two versions are subtracted cell by cell; peeling takes a digest from each pure cell out of its other
-cells until nothing is left, and so recovers just the digests that differ. If peeling stops early, both are sketched again
-with four times the cells.
+A text is a set of paragraph digests (64 bits). A paragraph is a line; a long one is cut where its own words say (after a word
+with one of a few last letters), so that what is put in or taken out moves no other cut. Short texts are cut finer: LEVELS has
+the lengths of pieces by the length of the text, and two texts are compared as the longer one is cut.
 
-The stored fingerprint is the smallest table. The likeness of two texts is 1 - differing / all digests of both, with the
-digests that peeling recovered.
+Each digest goes to one cell in each of three parts of a table; a cell holds a count, the xor of its digests and the xor of
+their checksums. Tables of two versions are subtracted cell by cell; peeling takes a digest from each pure cell out of its
+other cells until nothing is left, and so recovers just the digests that differ. It starts with the tables that are the
+fingerprints; if peeling stops early, both texts are sketched again with four times the cells, and what SIZES sizes could not
+tell apart is compared digest by digest.
+
+The likeness of two texts is 1 - differing / all digests of both, with the digests that peeling recovered.
 
 Tables are lists of cells that are not empty, so building, subtracting and peeling take time in proportion to the digests.
 
@@ -22,16 +25,33 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import bound, written
 
-#: Characters of a piece; cells of the smallest table; factor and number of sizes tried.
-PIECE, CELLS, GROWTH, SIZES = 160, 24, 4, 9
+#: For texts of up to so many characters: the least and the most characters before the cut of a piece.
+LEVELS = ((256, 4, 32), (4096, 40, 200), (1 << 31, 160, 640))
+#: Last letters of the words that a piece ends with: about half of all words.
+ENDS = "adensr"
+#: Cells of the smallest table; factor and number of sizes tried.
+CELLS, GROWTH, SIZES = 24, 4, 9
 PARTS, ROUNDS = 3, 60
 _CELL = "struct<c:bigint,n:bigint,k:bigint,x:bigint>"
 _TABLE = f"array<{_CELL}>"
 
 
-def digests(text: Column) -> Column:
-    """The distinct digests of the paragraphs of a text."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0))
+def pattern(level: int) -> str:
+    """What a piece is: up to the first cut after the least length, or to the end of the line or the most length."""
+    _, least, most = LEVELS[level]
+    return rf"[^\n]{{{least},{most}}}?[{ENDS}] |[^\n]{{1,{most}}}"
+
+
+def level(length: Column) -> Column:
+    """The place in LEVELS of a text of that many characters."""
+    return sum((F.when(length > most, 1).otherwise(0) for most, _, _ in LEVELS[:-1]), F.lit(0))
+
+
+def digests(text: Column, at: Column) -> Column:
+    """The distinct digests of the paragraphs of a text, cut as `level` says."""
+    pieces = F.regexp_extract_all(text, F.lit(pattern(len(LEVELS) - 1)), F.lit(0))
+    for k in range(len(LEVELS) - 1):
+        pieces = F.when(at == k, F.regexp_extract_all(text, F.lit(pattern(k)), F.lit(0))).otherwise(pieces)
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
@@ -96,30 +116,34 @@ def peeled(table: Column, cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when((F.size(s["rest"]) == 0) | s["stuck"], s).otherwise(step(s)))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Digests that are in one of two sets, as peeling recovers them: struct of added, removed and the number of cells it took.
+def differing(a: Column, b: Column, first: Column | None = None, second: Column | None = None) -> Column:
+    """Digests that are in one of two sets, as peeling recovers them: struct of added, removed and the number of cells it took
+    (0 where no size was enough and the digests were compared).
 
-    Cells start at the stored size and grow on failure. Sizes that both sets' numbers alone rule out are passed over. Null
-    if no size is enough.
+    first, second: the sets' smallest tables, if they are there. Cells grow on failure. Sizes that both sets' numbers alone rule out are passed over.
     """
     gap = F.abs(F.size(a) - F.size(b))
     none = F.lit(None).cast("struct<added:array<bigint>,removed:array<bigint>,cells:bigint>")
 
+    def table(cells: Column) -> Column:
+        whole = subtracted(sketch(a, cells), sketch(b, cells))
+        return whole if first is None else F.when(cells == CELLS, subtracted(first, second)).otherwise(whole)
+
     def tried(cells: Column) -> Column:
-        table = subtracted(sketch(a, cells), sketch(b, cells))
-        return bound(peeled(table, cells), lambda s: F.when(F.size(s["rest"]) == 0, F.struct(s["added"].alias("added"), s["removed"].alias("removed"), cells.alias("cells"))))
+        return bound(peeled(table(cells), cells), lambda s: F.when(F.size(s["rest"]) == 0, F.struct(s["added"].alias("added"), s["removed"].alias("removed"), cells.alias("cells"))))
 
     def attempt(found: Column, i: Column) -> Column:
         cells = (F.lit(CELLS) * F.pow(F.lit(GROWTH), i).cast("bigint")).cast("bigint")
         return F.when(found.isNotNull() | (cells < gap), found).otherwise(bound(cells, tried))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), none, attempt)
+    whole = F.struct(F.array_except(a, b).alias("added"), F.array_except(b, a).alias("removed"), F.lit(0).cast("bigint").alias("cells"))
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), none, attempt), whole)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 - differing / all, of two sets of digests; 0 if they could not be told apart."""
+def likeness(a: Column, b: Column, first: Column | None = None, second: Column | None = None) -> Column:
+    """1 - differing / all, of two sets of digests."""
     total = F.size(a) + F.size(b)
-    apart = bound(differing(a, b), lambda d: F.when(d.isNull(), total).otherwise(F.size(d["added"]) + F.size(d["removed"])))
+    apart = bound(differing(a, b, first, second), lambda d: F.size(d["added"]) + F.size(d["removed"]))
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - apart / total)
 
 
@@ -128,8 +152,9 @@ def rendered(table: Column) -> Column:
     return F.array_join(F.transform(table, lambda e: F.concat_ws(":", F.hex(e["c"]), e["n"].cast("string"), F.hex(e["k"]), F.hex(e["x"]))), ",")
 
 
-def fingerprint(ds: Column) -> Column:
-    return rendered(sketch(ds, F.lit(CELLS).cast("bigint")))
+def smallest(ds: Column) -> Column:
+    """The table that, rendered, is the fingerprint."""
+    return sketch(ds, F.lit(CELLS).cast("bigint"))
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -153,19 +178,27 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     rows = docs.select(F.col(key).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     named = F.concat(F.when(F.col("d").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("d").cast("string"))), F.lit(":"), F.xxhash64("t").cast("string"))
     rows = rows.withColumn("u", named)
-    sizes = rows.select("u", F.floor(F.length("t") / 3).cast("int").alias("k")).distinct()
-    asked = followers(rows).join(sizes, "u").select("d", F.col("u").alias("a"), F.col("nu").alias("u"), "k")
+    sizes = rows.select("u", F.length("t").alias("n")).distinct()
+    asked = followers(rows).join(sizes, "u").select("d", F.col("u").alias("a"), F.col("nu").alias("u"), "n")
     # One exchange of the texts by name serves both joins (so both read just u and t); between them starts and digests move.
     texts = rows.select("u", "t")
-    given = texts.join(asked, "u").select("d", F.col("a").alias("u"), F.substring("t", F.lit(1), F.col("k")).alias("head"), digests(F.col("t")).alias("next_ds"), "k")
-    given = given.groupBy("u").agg(*[F.first(c).alias(c) for c in ("d", "head", "next_ds", "k")])  # repeated rows give the same
+    third, far = F.floor(F.col("n") / 3).cast("int"), F.greatest(level(F.col("n")), level(F.length("t")))
+    given = texts.join(asked, "u").select("d", F.col("a").alias("u"), F.substring("t", F.lit(1), third).alias("head"), digests(F.col("t"), far).alias("next_ds"), third.alias("k"), far.alias("far"))
+    given = given.groupBy("u").agg(*[F.first(c).alias(c) for c in ("d", "head", "next_ds", "k", "far")])  # repeated rows give the same
     both = texts.join(given, "u")
-    edited = F.concat(F.substring("t", F.lit(1), F.length("t") - F.col("k")), F.col("head"))
-    both = both.select("d", F.length("t").cast("long").alias("n_chars"), edited.alias("edited"), digests(F.col("t")).alias("ds"), "next_ds").withColumn("edited_ds", digests(F.col("edited")))
+    both = both.select("d", "t", F.length("t").alias("n"), F.concat(F.substring("t", F.lit(1), F.length("t") - F.col("k")), F.col("head")).alias("e"), "next_ds", "far")
+    both = both.withColumns({"own": level(F.col("n")), "other": level(F.length("e"))})
+    both = both.withColumns({"ds": digests(F.col("t"), F.col("own")), "edited_ds": digests(F.col("e"), F.col("other"))})
+    # As the longer text is cut, where that is another level than its own.
+    both = both.withColumns({"far_ds": F.when(F.col("far") == F.col("own"), F.col("ds")).otherwise(digests(F.col("t"), F.col("far"))), "near_ds": F.when(F.col("other") == F.col("own"), F.col("edited_ds")).otherwise(digests(F.col("e"), F.col("own")))})
+    both = both.withColumns({"table": smallest(F.col("ds")), "edited_table": smallest(F.col("edited_ds"))})
+    far_table = F.when(F.col("far") == F.col("own"), F.col("table")).otherwise(smallest(F.col("far_ds")))
+    both = both.withColumn("next_table", smallest(F.col("next_ds")))
+    near_table = F.when(F.col("other") == F.col("own"), F.col("edited_table")).otherwise(smallest(F.col("near_ds")))
     return both.select(
-        F.col("d").alias(key), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("ds")).alias("fingerprint"), fingerprint(F.col("edited_ds")).alias("edited_fingerprint"),
-        likeness(F.col("ds"), F.col("edited_ds")).alias("near_edited"), likeness(F.col("ds"), F.col("next_ds")).alias("near_next"),
+        F.col("d").alias(key), F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"),
+        rendered(F.col("table")).alias("fingerprint"), rendered(F.col("edited_table")).alias("edited_fingerprint"),
+        likeness(F.col("ds"), F.col("near_ds"), F.col("table"), near_table).alias("near_edited"), likeness(F.col("far_ds"), F.col("next_ds"), far_table, F.col("next_table")).alias("near_next"),
     )
 
 
