@@ -5,12 +5,14 @@ family, varied by a seeded rule, and on sentences that only sound alike. It name
 varied templates held back makes its confidence mean what it says, and paragraphs below the least confidence are unknown. A
 prediction counts only if the paragraph shares enough words with a template of its family.
 
-Paragraphs are lines. Those with an anchor word are scored, and those that share enough words with a template to be confirmed,
+A paragraph is a line with those that go on with it: a line break inside a sentence (none of .!?:; before it, and text on the
+next line) is where a notice was wrapped. Paragraphs with an anchor word are scored, and those that share enough words with a template to be confirmed,
 one of them a word that tells (not a number or function word) and two at least: one word alone, as 'mit', is a word of prose
 too. Without an anchor a paragraph counts only if it is confirmed. Scoring is a join with the bounded table of weights and sums by paragraph.
 
-Nulls and texts without a paragraph in question have no licence; repeated rows of one id and text count as one document;
-rows whose id is null are kept with no licence found; an empty table gives no rows; other columns are ignored.
+Nulls and texts without a paragraph in question have no licence; texts are told apart by their id and their hash, so one id, or
+none, may stand for several; repeated rows of one id and text get equal results; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import named
+
 # Short notices and first sentences of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
@@ -181,8 +185,12 @@ def _worded(ws, shared: float):
     return F.arrays_overlap(ws, F.lit(telling)) & F.exists(F.array(*[F.lit(list(tw)) for tw in sets]), alike)
 
 
+#: A line break inside a sentence.
+WRAP = r"(?<![.!?:;\s])[ \t\r]*\n(?=[ \t]*[^\s])"
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", shared: float = SHARED) -> DataFrame:
-    """key, p (line number), the words and anchored (has an anchor word) of each distinct paragraph in question."""
+    """o (names the text), p (number of the paragraph), the words and anchored (has an anchor word) of each distinct paragraph in question."""
 
     def anchored(low):
         some = F.contains(low, F.lit(ANCHORS[0]))
@@ -190,9 +198,9 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", shared:
             some = some | F.contains(low, F.lit(a))
         return some
 
-    some = docs.select(F.col(key).alias("d"), F.lower(F.col(text)).alias("t")).filter(F.col("d").isNotNull())
-    lines = some.select("d", F.posexplode(F.split("t", "\n")).alias("p", "line"))
-    found = lines.select("d", "p", F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0)).alias("ws"), anchored(F.col("line")).alias("anchored"))
+    some = docs.filter(F.col(text).isNotNull()).select(named(key, text).alias("o"), F.lower(F.regexp_replace(F.col(text), WRAP, " ")).alias("t"))
+    lines = some.select("o", F.posexplode(F.split("t", "\n")).alias("p", "line"))
+    found = lines.select("o", "p", F.regexp_extract_all("line", F.lit("[a-z0-9]+"), F.lit(0)).alias("ws"), anchored(F.col("line")).alias("anchored"))
     return found.filter((F.size("ws") > 0) & (F.col("anchored") | _worded(F.col("ws"), shared))).distinct()
 
 
@@ -202,40 +210,44 @@ def scored(found: DataFrame) -> DataFrame:
     classes, weights, bias = fitted()
     table = _literal(spark, [{"g": g, "w": w} for g, w in weights.items()], "g string, w array<double>")
     pairs = F.transform(F.sequence(F.lit(1), F.size("ws")), lambda i: F.when(i < F.size("ws"), F.concat_ws(" ", F.element_at("ws", i), F.try_element_at("ws", i + 1))))
-    grams = found.select("d", "p", F.explode(F.array_distinct(F.array_compact(F.concat("ws", pairs)))).alias("g"))
-    sums = grams.join(F.broadcast(table), "g").groupBy("d", "p").agg(*[F.sum(F.element_at("w", k + 1)).alias(f"s{k}") for k in range(len(classes))])
+    grams = found.select("o", "p", F.explode(F.array_distinct(F.array_compact(F.concat("ws", pairs)))).alias("g"))
+    sums = grams.join(F.broadcast(table), "g").groupBy("o", "p").agg(*[F.sum(F.element_at("w", k + 1)).alias(f"s{k}") for k in range(len(classes))])
     z = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.lit(b) for k, b in enumerate(bias)])
-    out = found.join(sums, ["d", "p"], "left").withColumn("z", z).withColumn("top", F.array_max("z"))
+    out = found.join(sums, ["o", "p"], "left").withColumn("z", z).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*map(F.lit, classes))
     return out.select(*found.columns, F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"), (F.lit(1.0) / total).alias("confidence"))
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, shared: float = SHARED) -> DataFrame:
-    """key, p, family, confidence, likeness and confirmed of each paragraph in question that is not none.
+    """key, p, family, confidence, likeness and confirmed of each paragraph in question that is not none (repeated rows once).
 
     Paragraphs without an anchor word are among them only if confirmed. family is unknown where the classifier is not sure enough or no template confirms it.
     """
+    return _scanned(docs, key, text, confidence, shared).select(F.col("o.d").alias(key), "p", "family", "confidence", "likeness", "confirmed")
+
+
+def _scanned(docs: DataFrame, key: str, text: str, confidence: float, shared: float) -> DataFrame:
     spark = docs.sparkSession
-    named = scored(paragraphs(docs, key, text, shared)).filter(F.col("family") != NONE)
+    some = scored(paragraphs(docs, key, text, shared)).filter(F.col("family") != NONE)
     rows = [{"family": f, "tw": sorted(set(words(t)))} for f, ts in TEMPLATES.items() for t in ts]
     templates = _literal(spark, rows, "family string, tw array<string>")
     own = F.array_distinct("ws")
     like = F.size(F.array_intersect(own, F.col("tw"))) / F.least(F.size(own), F.size("tw"))
-    best = named.join(F.broadcast(templates), "family").groupBy("d", "p").agg(F.max(like).alias("likeness"))
-    out = named.join(best, ["d", "p"]).withColumn("confirmed", (F.col("confidence") >= confidence) & (F.col("likeness") >= shared))
+    best = some.join(F.broadcast(templates), "family").groupBy("o", "p").agg(F.max(like).alias("likeness"))
+    out = some.join(best, ["o", "p"]).withColumn("confirmed", (F.col("confidence") >= confidence) & (F.col("likeness") >= shared))
     family = F.when(F.col("confirmed"), F.col("family")).otherwise(UNKNOWN)
     out = out.filter(F.col("confirmed") | F.col("anchored"))
-    return out.select(F.col("d").alias(key), "p", family.alias("family"), "confidence", "likeness", "confirmed")
+    return out.select("o", "p", family.alias("family"), "confidence", "likeness", "confirmed")
 
 
-def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def by_document(docs: DataFrame, key: str = "doc_id", text: str = "text", confidence: float = CONFIDENCE, shared: float = SHARED) -> DataFrame:
     """A row for each row of docs: families (sorted, joined by a comma; unknown among them; none if there are none), paragraphs and confidence."""
-    hits = scanned(docs, key, text, **how).groupBy(key).agg(
+    hits = _scanned(docs, key, text, confidence, shared).groupBy("o").agg(
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count("*").alias("n_paragraphs"),
         F.count_if(F.col("confirmed")).alias("n_confirmed"), F.max("confidence").alias("confidence"),
     )
-    return docs.select(key).join(hits, key, "left").select(key, F.coalesce("families", F.lit(NONE)).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return docs.select(key, named(key, text).alias("o")).join(hits, "o", "left").select(key, F.coalesce("families", F.lit(NONE)).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
