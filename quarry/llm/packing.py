@@ -1,9 +1,10 @@
 """Packing of tokenised documents into sequences of one length, by bounded-space online packing.
 
 Each partition keeps a fixed number of open windows. A document's pieces of full length are sequences of their own; its
-rest goes where it fits best; if it fits nowhere, the fullest window is filled up with its first part and emitted. At the
-end the windows still open are merged in groups of a bounded number of partitions, and the last tokens of a group are cut
-into sequences whose lengths are powers of two, which need no padding. So no sequence is padded.
+rest goes where it fits best; if it fits nowhere, the fullest window is topped up with its first part and emitted. At the
+end the windows still open are merged: those of GROUP partitions are cut into full sequences, what each group has left
+(less than one sequence) is merged with that of GROUP groups, and so on. Only the last group's rest, less than one
+sequence for the whole table, is cut into sequences whose lengths are powers of two. So no sequence is padded.
 
 A null or empty text has only the end id; repeated rows are packed one by one; an empty table gives no rows; other columns
 are ignored. Token ids come from the tokenizer itself, for each distinct word once, from a bounded table of the worker.
@@ -12,6 +13,7 @@ are ignored. Token ids come from the tokenizer itself, for each distinct word on
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import sys
@@ -20,7 +22,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +35,9 @@ OPEN, GROUP = 32, 16
 #: Words that a worker remembers.
 REMEMBERED = 500_000
 
+# How a tokenizer that the pattern below is equal to prepares its texts.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _DIGITS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \xa0"
 
 
@@ -44,11 +48,24 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def _prepares_alike(tokenizer: dict) -> bool:
+    """Whether a tokenizer's file says that it prepares texts as the pattern of Words does."""
+    before, cut = tokenizer.get("normalizer") or {}, tokenizer.get("pre_tokenizer") or {}
+    split = (cut.get("pretokenizers") or [{}])[0]
+    rest = [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in (cut.get("pretokenizers") or [])[1:]]
+    model = tokenizer.get("model") or {}
+    return (
+        before.get("normalizers") == _NORMALIZERS and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and rest == [("ByteLevel", False, False)] and not tokenizer.get("truncation") and not tokenizer.get("post_processor") and not model.get("dropout")
+        and all(x["content"].startswith("<|") for x in tokenizer.get("added_tokens") or [])
+    )
+
+
 class Words:
     """The ids of a word-level BPE tokenizer (lower case, a word at a time), as little-endian uint32.
 
-    Texts of Latin-1 characters are cut by an equal pattern here, and their words looked up; all others go through the
-    tokenizer as they are.
+    Texts of Latin-1 characters are cut by an equal pattern here, and their words looked up; all others, and all texts of a
+    tokenizer that prepares its texts in another way, go through the tokenizer as they are.
     """
 
     def __init__(self, source: str):
@@ -57,10 +74,13 @@ class Words:
 
         self.tokenizer = Tokenizer.from_str(source)
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
+        self.known = _prepares_alike(json.loads(source))
         self.odd = re.compile(r"[\x1c-\x1f\x85]|<\|")
         self.table: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
+        if not self.known:
+            return False
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -134,12 +154,13 @@ class Packer:
         return out
 
 
-def merged(pieces: list[tuple], length: int) -> list[list[tuple]]:
-    """Pieces in order, cut into full sequences; what remains is cut into sequences of powers of two."""
+def merged(pieces: list[tuple], length: int, last: bool = True) -> list[list[tuple]]:
+    """Pieces in order, cut into full sequences; what remains is cut into sequences of powers of two, or stays as it is."""
     left = sum(len(p[2]) // 4 for p in pieces)
-    sizes = [length] * (left // length) + [1 << b for b in range(length.bit_length(), -1, -1) if (left % length) >> b & 1]
+    rest = left % length
+    ends = [1 << b for b in range(length.bit_length(), -1, -1) if rest >> b & 1] if last else [rest] * (rest > 0)
     out, k = [], 0
-    for size in sizes:
+    for size in [length] * (left // length) + ends:
         own, gap = [], size
         while gap:
             key, start, ids, n = pieces[k]
@@ -190,22 +211,30 @@ def packed(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
         if types is not None:
             yield rows([w[1] for w in packer.open], next_id, part // group, types)
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sequence_id", "offset"], kind="stable")
-        pieces = list(zip(pdf[key], pdf["start"], map(bytes, pdf["ids"]), pdf["doc_tokens"]))
-        first = (1 << 60) + (int(pdf["_group"].iloc[0]) << 32)
-        out = []
-        for s, window in enumerate(merged(pieces, length)):
-            offset = 0
-            for k, start, ids, n in window:
-                out.append((k, start, len(ids) // 4, n, first + s, offset, zlib.crc32(ids), None if digests else ids, None))
-                offset += len(ids) // 4
-        return pd.DataFrame(out, columns=list(pdf.columns)).astype({"_group": "Int64"})
+    def merging(last: bool, round_: int):
+        return lambda table: merge(table, last, round_)
+
+    def merge(table: pa.Table, last: bool, round_: int) -> pa.Table:
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        pieces = list(zip(*(table[c].to_pylist() for c in (key, "start", "ids", "doc_tokens"))))
+        own = table["_group"][0].as_py()
+        first = (round_ << 56) + (own << 32)
+        windows = merged(pieces, length, last)
+        rest = [windows.pop()] if not last and sum(len(p[2]) // 4 for p in windows[-1]) < length else []
+        types = table.schema.field(key).type
+        done = rows(windows, first, None, types)
+        return pa.Table.from_batches([done, rows(rest, first + len(windows), own // group, types)] if rest else [done])
 
     placed = written(docs.select(key, text).mapInArrow(run, schema), "packing")
-    done = placed.filter(F.col("_group").isNull())
-    rest = placed.filter(F.col("_group").isNotNull()).groupBy("_group").applyInPandas(merge, schema)
-    return done.unionByName(rest).drop("_group", "ids" if digests else "ids_crc32")
+    done, rest = placed.filter(F.col("_group").isNull()), placed.filter(F.col("_group").isNotNull())
+    groups, round_ = (rest.agg(F.max("_group")).first()[0] or 0) + 1, 1
+    while True:
+        last = groups == 1
+        merged_ = written(rest.groupBy("_group").applyInArrow(merging(last, round_), schema), "merged")
+        done = done.unionByName(merged_.filter(F.col("_group").isNull()))
+        if last:
+            return done.drop("_group", "ids" if digests else "ids_crc32")
+        rest, groups, round_ = merged_.filter(F.col("_group").isNotNull()), -(-groups // group), round_ + 1
 
 
 def query(spark, sf_dir: str) -> DataFrame:
