@@ -1,19 +1,19 @@
 """SentencePiece (BPE) encoding and decoding by vectorised merge rounds.
 
-A text is cut where no merge can cross (before a run of word marks, around characters that occur in no piece); the
-distinct chunks of a batch are laid flat in one array of symbols, and each round finds the minimum pair rank of every
-chunk, merges its leftmost occurrences in all chunks at once and compacts, until no pair is left. Chunks met before come
-from a bounded table of the worker.
+A text is cut before a run of word marks, and a chunk again between any two characters that stand side by side in no piece,
+as no merge can cross them; the distinct chunks of a batch are laid flat in one array of symbols, and each round finds the
+minimum pair rank of every part, merges its leftmost occurrences in all parts at once and compacts, until no pair is left. In
+long parts the minimum is taken as far as a piece reaches, so that rounds do not grow with their length.
+Chunks met before come from a bounded table of the worker.
 
 A null or empty text has no pieces (only the end id, if one is asked for); repeated rows are encoded alike; very long
-texts and chunks are encoded whole. The model file is read on the driver and sent to the workers, whose size is the
+texts and chunks are encoded whole, in the same way. The model file is read on the driver and sent to the workers, whose size is the
 vocabulary's.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,10 +25,16 @@ from quarry.llm.batches import slices
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
-#: Longer chunks are merged by a queue instead of rounds: both give the same pieces.
-LONG = 4096
-#: Chunks that a worker remembers.
-REMEMBERED = 600_000
+#: Chunks that a worker remembers, and their characters; symbols that are merged at once (one longer part by itself).
+REMEMBERED, CHARACTERS, AT_ONCE = 600_000, 20_000_000, 2_000_000
+
+
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` values in a row."""
+    k = 1
+    while 2 * k <= width:
+        x, k = np.minimum(x[:-k], x[k:]), 2 * k
+    return np.minimum(x[: len(x) - (width - k)], x[width - k :])
 
 
 class Pieces:
@@ -70,11 +76,15 @@ class Pieces:
         self.is_control = np.array([sp.is_control(i) for i in range(n)])
         self.marked = np.array([p.startswith(MARK) for p in pieces])
         inside = {c for p in ids for c in p}
+        # Characters that stand side by side in some piece.
+        self.meeting = np.array(sorted({ord(a) << 21 | ord(b) for p in ids for a, b in zip(p, p[1:])}), dtype=np.int64)
         # Cut before a run of marks; a run goes with what follows it, unless pieces may go on from a character to a mark.
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in ids)
         apart = "\n" if "\n" not in inside else ""
         self.chunk = re.compile(f"[^{apart}]+|\n" if crossing and apart else "(?s:.+)" if crossing else f"{MARK}*[^{MARK}{apart}]+|{MARK}+|\n")
+        self.reach = max(map(len, ids))
         self.table: dict[str, str] = {}
+        self.held = 0
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -101,13 +111,14 @@ class Pieces:
                 least, lengths = least[open_], lengths[open_]
                 if not len(symbols):
                     break
-            hit = np.flatnonzero(rank == np.repeat(least, lengths))
+            near = self._near(rank, lengths)
+            hit = np.flatnonzero((rank == np.repeat(least, lengths)) | near)
             new = np.r_[True, seg[hit[1:]] != seg[hit[:-1]]]
             # In a row of overlapping occurrences every other one merges, from the left.
             breaks = new | np.r_[True, hit[1:] != hit[:-1] + 1]
             place = np.arange(len(hit))
             offset = place - np.maximum.accumulate(np.where(breaks, place, 0))
-            hit = hit[np.where(rank[hit] & 1, new, offset % 2 == 0)]
+            hit = hit[np.where(rank[hit] & 1, new | near[hit], offset % 2 == 0)]
             symbols[hit] = self.into[at[hit]]
             keep = np.ones(len(symbols), dtype=bool)
             keep[hit + 1] = False
@@ -124,54 +135,45 @@ class Pieces:
         by = np.argsort(seg, kind="stable")
         return symbols[by], seg[by]
 
+    def _near(self, rank: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """In long parts: which pairs are least as far as two pieces reach on either side, as what merges beyond that cannot get at
+        them before their turn. Of a row of equal pairs all wait for the first, of unsafe equal ones each for those on its left."""
+        near, far = np.zeros(len(rank), dtype=bool), 2 * self.reach
+        wide = lengths > 2 * far
+        if wide.any():
+            inside = np.flatnonzero(np.repeat(wide, lengths))
+            r = rank[inside]
+            left = _least(np.concatenate([np.full(far, NONE), r]), far)[: len(r)]
+            right = _least(np.concatenate([r, np.full(far, NONE)]), far + 1)
+            own = (r < NONE) & (r <= right) & np.where(r & 1, r < left, r <= left)
+            first = np.r_[True, r[1:] != r[:-1]]
+            own &= own[np.flatnonzero(first)][np.cumsum(first) - 1]
+            near[inside[own]] = True
+        return near
+
     def _ranked(self, symbols: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, at = np.full(len(symbols), NONE), np.zeros(len(symbols), dtype=np.int64)
         inner = np.flatnonzero(seg[1:] == seg[:-1])
         rank[inner], at[inner] = self.pairs(symbols[inner], symbols[inner + 1])
         return rank, at
 
-    def queue(self, symbols: np.ndarray) -> np.ndarray:
-        """The same merges for one long chunk, one at a time from a queue ordered by rank and place."""
-        rank, at = self._ranked(symbols, np.zeros(len(symbols), dtype=np.int64))
-        sym = symbols.tolist()
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        heap = [(int(r) >> 1, i, sym[i], sym[i + 1], int(self.into[a])) for i, (r, a) in enumerate(zip(rank, at)) if r < NONE]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, into = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= len(sym) or sym[j] != b:
-                continue
-            sym[i], sym[j], after[i] = into, -2, after[j]
-            if after[i] < len(sym):
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(sym) and sym[x] >= 0 and sym[y] >= 0:
-                    key = sym[x] << 20 | sym[y]
-                    k = int(np.searchsorted(self.keys, key))
-                    if k < len(self.keys) and self.keys[k] == key:
-                        heapq.heappush(heap, (int(self.ranks[k]) >> 1, x, sym[x], sym[y], int(self.into[k])))
-        return np.array([x for x in sym if x != -2], dtype=np.int64)
-
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """The ids of each chunk."""
         lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        base, seg = self.known[code], np.repeat(np.arange(len(chunks)), lengths)
-        ends = np.cumsum(lengths)
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        base, chunk = self.known[code], np.repeat(np.arange(len(chunks)), lengths)
         # Unknown characters keep their code as a negative symbol: no pair has it.
-        base = np.where(base >= 0, base, -10 - code.astype(np.int64))
-        long = np.flatnonzero(lengths > LONG)
-        if len(long):
-            apart = np.isin(seg, long)
-            found = [(self.queue(base[ends[k] - lengths[k] : ends[k]]), k) for k in long]
-            symbols, seg = self.rounds(base[~apart].copy(), seg[~apart])
-            symbols = np.concatenate([symbols, *[x for x, _ in found]])
-            seg = np.concatenate([seg, *[np.full(len(x), k) for x, k in found]])
-            by = np.argsort(seg, kind="stable")
-            symbols, seg = symbols[by], seg[by]
-        else:
-            symbols, seg = self.rounds(base.copy(), seg)
+        base = np.where(base >= 0, base, -10 - code)
+        pair = code[:-1] << 21 | code[1:]
+        meets = self.meeting[np.minimum(np.searchsorted(self.meeting, pair), len(self.meeting) - 1)] == pair
+        part = np.r_[0, np.cumsum(~meets | (chunk[1:] != chunk[:-1]))] if len(code) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        owner = chunk[first]
+        # Groups of whole parts.
+        start = np.flatnonzero(np.r_[True, first[1:] // AT_ONCE != first[:-1] // AT_ONCE])
+        cut = [*first[start].tolist(), len(code)] if len(code) else [0, 0]
+        merged = [self.rounds(base[a:b].copy(), part[a:b]) for a, b in zip(cut, cut[1:])]
+        symbols, seg = np.concatenate([x for x, _ in merged]), owner[np.concatenate([x for _, x in merged])]
         counts = np.bincount(seg, minlength=len(chunks))
         flat, out, k = symbols.tolist(), [], 0
         bytes_too = (symbols < 0) | (symbols >= len(self.sizes))
@@ -191,9 +193,10 @@ class Pieces:
     def learn(self, wanted: set[str]) -> None:
         """Puts chunks that the table lacks into it, as ids in decimal."""
         new = list(wanted.difference(self.table))
-        if len(self.table) + len(new) > REMEMBERED:
+        if len(self.table) + len(new) > REMEMBERED or self.held > CHARACTERS:
             self.table.clear()
-            new = list(wanted)
+            self.held, new = 0, list(wanted)
+        self.held += sum(map(len, new))
         for c, ids in zip(new, self.encode_chunks(new)) if new else ():
             self.table[c] = " ".join(map(str, ids))
 
