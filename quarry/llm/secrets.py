@@ -4,7 +4,7 @@ A string that a trained vocabulary cuts into many tokens for its length was not
 characters are tested that way, cut at '=' and '.' (names, domains, the parts of a JWT) and, where a part is not random as a
 whole, at '/' and then at other marks. Known digests (hex of the usual lengths), UUIDs, numbers and plain identifiers (words
 joined by marks) are set aside; a string of letters alone is judged by its tokens only. Of a run that holds a span of a fixed
-pattern the rest is tested.
+pattern the rest is tested, and the string of letters and digits that the span is part of.
 
 A null or empty text has no spans; spans are code points of the whole text, end exclusive; repeated rows are scanned one
 by one; other columns are kept by `redacted`. The vocabulary is read on the driver and sent to the workers.
@@ -25,10 +25,14 @@ from quarry.llm.batches import slices
 
 #: Kinds in the order of the results: three with a fixed pattern, and what the token test adds.
 BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "random")
-#: Characters of a run that is tested, and the most characters to a token that it may have.
-SHORTEST, MOST_CHARS_PER_TOKEN = 20, 2.2
-#: The same for letters in the shape of one word: a dozen long words of other languages have 2.07 and more, 99 % of random letters less.
-MOST_IN_A_WORD = 2.0
+#: Characters of a run that is tested.
+SHORTEST = 16
+#: The most characters to a token, by the least length they are for: short strings vary more. Of random strings 97 % and more have
+#: less (16 characters), of long ones 99 % and more.
+MOST = ((20, 2.2), (SHORTEST, 2.0))
+#: The same for letters in the shape of one word: long words of other languages have 2.07 and more, invented ones of 16 to 19 letters
+#: under 1.8 about once in 500. Of random lower-case letters seven in ten of 16, and 98 % of 20 and more, are found.
+MOST_IN_A_WORD = ((20, 2.0), (SHORTEST, 1.8))
 MASK = "[SECRET]"
 
 
@@ -49,6 +53,7 @@ _IDENTIFIER = re.compile(r"[-_./=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]+[0
 #: Parts of a run, with the padding of base64 where nothing follows it; and the cuts of a part that is not random as a whole.
 _PART = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?=\.|$))?")
 _CUTS = (re.compile(r"[^/]+"), re.compile(r"[^/_+-]+"))
+_SOLID = re.compile(r"[A-Za-z0-9]+")
 #: Characters whose tokens are counted at once.
 _AT_ONCE = 1000
 
@@ -60,15 +65,16 @@ def _mixed(run: str) -> bool:
     return (1 in kinds or 2 in kinds) and (3 not in kinds or sum(a != b for a, b in zip(kinds, kinds[1:])) >= 3)
 
 
-def _dense(core: str, tokens, most: float = MOST_CHARS_PER_TOKEN) -> bool:
-    return len(core) <= most * sum(tokens(core[k : k + _AT_ONCE]) for k in range(0, len(core), _AT_ONCE))
+def _dense(core: str, tokens, most: tuple = MOST) -> bool:
+    ratio = next((r for least, r in most if len(core) >= least), 0.0)
+    return len(core) <= ratio * sum(tokens(core[k : k + _AT_ONCE]) for k in range(0, len(core), _AT_ONCE))
 
 
 def _random(core: str, tokens) -> bool:
     if len(core) < SHORTEST or not _mixed(core) or _DIGEST.fullmatch(core) or _UUID.search(core):
         return False
     plain = _IDENTIFIER.fullmatch(core)
-    return (not plain or core.isalpha()) and _dense(core, tokens, MOST_IN_A_WORD if plain else MOST_CHARS_PER_TOKEN)
+    return (not plain or core.isalpha()) and _dense(core, tokens, MOST_IN_A_WORD if plain else MOST)
 
 
 def _parts(s: str, at: int, tokens, cuts=(_PART, *_CUTS)) -> Iterator[tuple[str, int, int]]:
@@ -88,6 +94,16 @@ def _parts(s: str, at: int, tokens, cuts=(_PART, *_CUTS)) -> Iterator[tuple[str,
             yield from _parts(m[0], at + m.start(), tokens, cuts[1:])
 
 
+def _around(s: str, start: int, own: list[tuple[str, int, int]], tokens) -> set[tuple[str, int, int]]:
+    """The random strings of letters and digits that hold one of a run's own spans and more."""
+    found = set()
+    for _, a, b in own:
+        held = next((m for m in _SOLID.finditer(s) if m.start() <= a - start < m.end()), None)
+        if held and held.end() - held.start() > b - a and _random(held[0], tokens):
+            found.add(("random", start + held.start(), start + held.end()))
+    return found
+
+
 def encoder(ranks: bytes, pattern: str):
     import tiktoken
 
@@ -106,6 +122,7 @@ def spans(text: str, tokens) -> list[tuple[str, int, int]]:
         own = [("access", start + m.start(), start + m.end()) for m in ACCESS.finditer(s) if m.end() - m.start() >= 18]
         own += [("hex", start + m.start(), start + m.end()) for m in HEX.finditer(s)]
         found += own
+        found += _around(s, start, own, tokens)
         done = 0
         for _, a, b in [*sorted(own, key=lambda x: x[1]), ("", start + len(s), start + len(s))]:
             found += _parts(s[done : max(done, a - start)], start + done, tokens)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import xxhash
 from compare import same
 from helpers import rows
 
@@ -63,6 +64,43 @@ def test_ngram_join(spark, sf, edge):
         assert sorted((str(None if math.isnan(r.doc_id) else int(r.doc_id)), r.n_shingles, int(r.component_id)) for r in got.itertuples()) == want
 
 
+def level(t):
+    return next(k for k, (most, _, _) in enumerate(fingerprints.LEVELS) if len(t) <= most)
+
+
+def pieces(t, at):
+    """The pieces of a text, found by hand."""
+    _, least, most = fingerprints.LEVELS[at]
+    out = set()
+    for line in t.split("\n"):
+        while line:
+            cut = next((k + 2 for k in range(least, min(most, len(line)) + 1) if line[k : k + 1] in tuple(fingerprints.ENDS) and line[k + 1 : k + 2] == " "), min(most, len(line)))
+            out.add(line[:cut])
+            line = line[cut:]
+    return out
+
+
+def cells(own):
+    """The smallest table of a set of pieces, cell by cell."""
+    table: dict = {}
+
+    def h64(data, seed=42):
+        return xxhash.xxh64_intdigest(data, seed)
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    for p in own:
+        k = h64(p.encode())
+        raw = k.to_bytes(8, "little")
+        part = fingerprints.CELLS // 3
+        for j in range(3):
+            c = signed(h64(j.to_bytes(4, "little"), h64(raw))) % part + part * j
+            n, x, y = table.get(c, (0, 0, 0))
+            table[c] = (n + 1, x ^ k, y ^ (h64((99).to_bytes(4, "little"), h64(raw)) & 0xFFFFFFFF))
+    return ",".join(f"{c:X}:{n}:{x:X}:{y:X}" for c, (n, x, y) in sorted(table.items()))
+
+
 def test_fingerprints(spark, sf, edge):
     for where in (sf, edge):
         got = result(spark, "op3_fingerprints", where)
@@ -80,12 +118,11 @@ def test_fingerprints(spark, sf, edge):
             assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
 
-            def pieces(t):
-                return set(re.findall(r"[^\n]{1,%d}" % fingerprints.PIECE, t))
-
             for near, other in ((r.near_edited, edited), (r.near_next, then)):
-                a, b = pieces(text), pieces(other)
+                at = max(level(text), level(other))
+                a, b = pieces(text, at), pieces(other, at)
                 assert near == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0)
+            assert r.fingerprint == cells(pieces(text, level(text))) and r.edited_fingerprint == cells(pieces(edited, level(edited)))
 
 
 def test_packing(spark, sf, edge):
@@ -228,11 +265,21 @@ def test_licenses(spark, edge, sf):
     own = licenses.by_document(spark.read.parquet(f"{edge}/documents.parquet")).toPandas()
     assert len(own) == len(rows()) and "mit" in set(own.families)
     real = {r.doc_id: r.families for r in licenses.by_document(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    names = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC 4.0": "cc-by-nc"}
+    names = {"MIT License": "mit", "Apache License": "apache", "GNU General Public": "gpl", "CC BY-NC 4.0": "cc-by-nc", "All rights reserved.": "proprietary"}
     for i, t in docs(spark, sf):
         assert real[i] == (",".join(sorted(f for n, f in names.items() if n in t)) or "none"), t[-200:]
 
 
+def test_wrapped_notices_and_ids_on_several_texts(spark):
+    gpl = "Some prose before it.\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nint main() {}"
+    mit = "A tool\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction.\n"
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, gpl), (2, mit), (8, "x"), (8, apache), (8, "Released under the MIT License."), (None, apache), (None, "y"), (2**60 + 1, apache), (2**60 + 1, apache), (3, None), (4, "")]
+    got = licenses.by_document(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = [(1, "gpl"), (2, "mit"), (8, "none"), (8, "apache"), (8, "mit"), (None, "apache"), (None, "none"), (2**60 + 1, "apache"), (2**60 + 1, "apache"), (3, "none"), (4, "none")]
+    assert sorted(((r.doc_id, r.families) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_bare_rights_notice(spark, sf):
     lines = ["All rights reserved.", "Some prose of no weight.\nAll rights reserved.", "Copyright 2020 Someone. All rights reserved.", "All citizens have the same rights."]
     got = licenses.by_document(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).orderBy("doc_id").collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry.llm import fingerprints, line_dedup, ngram_join, packing, secrets, sentencepieces, toxicity
 
 
-def test_merge_rounds_and_queue_agree(monkeypatch):
+def test_merge_rounds_equal_the_library():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
@@ -21,11 +21,9 @@ def test_merge_rounds_and_queue_agree(monkeypatch):
         pieces = sentencepieces.loaded(f.read())
     rng = random.Random(2)
     texts = ["".join(rng.choice("  \n\tab▁éß😀thein日") for _ in range(rng.randrange(80))) for _ in range(300)] + [" " * 300, "ab" * 400]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("etaoinshrdlu", 6000), ("abcdefghijklmnopqrstuvwxyz", 30_000), ("日本語中文的是了我不人在他有这", 5000), ("a", 70_000), ("ab▁", 9000))]
     want = [" ".join(map(str, sp.encode(t))) for t in texts]
     assert pieces.encode(texts) == want
-    monkeypatch.setattr(sentencepieces, "LONG", 1)
-    pieces.table.clear()
-    assert pieces.encode(texts) == want
     for _ in range(500):
         ids = [rng.choice([rng.randrange(300), rng.randrange(32000), 28705, 1, 2]) for _ in range(rng.randrange(12))]
         assert pieces.decode(np.array(ids, dtype=int)) == sp.decode(ids)
@@ -185,3 +183,55 @@ def test_one_id_on_two_texts_loses_no_link(spark):
     text = {r.id: r.h for r in members.collect()}
     h = {t: x for t, x in df.selectExpr("text", "xxhash64(text)").collect()}
     assert {frozenset((text[r.a], text[r.b])) for r in pairs.collect()} == {frozenset((h[x], h[y])) for x, y in ((a, a + " word"), (b, b + " word"), (c, c + " word"), (c, c + " other"), (c + " word", c + " other"))}
+
+
+def test_packing_keeps_large_ids_beside_a_null_and_leaves_one_rest(spark):
+    ids = [2**60 + 1, None, 2**60 + 3, 2**53 + 1, None]
+    df = spark.createDataFrame([(i, "some words of a text " * (k + 1)) for k, i in enumerate(ids)], "doc_id bigint, text string").repartition(40)
+    df = df.union(spark.createDataFrame([(k, "word " * (40 * k)) for k in range(200)], "doc_id bigint, text string").repartition(40))
+    got = packing.packed(df, P.path("word_bpe_49k.json"), open_windows=2, group=3, digests=True).toPandas()
+    seen = packing.packed(df, P.path("word_bpe_49k.json"), group=3).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in seen} == {*ids, *range(200)}
+    sizes = got.groupby("sequence_id").length.sum()
+    small = sizes[sizes < 2048]
+    assert sizes.max() == 2048 and len(set(small)) == len(small) and all(n & (n - 1) == 0 for n in small)  # one rest in all
+
+
+def test_another_tokenizer_takes_the_direct_way():
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = f.read()
+    other = json.loads(source)
+    other["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}]}
+    words = packing.Words(json.dumps(other))
+    assert packing.Words(source).known and not words.known
+    assert words.encode(["Some Text"])[0] == np.array(words.tokenizer.encode("Some Text", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_recall_of_the_token_test(spark, sf):
+    """Random strings that are found, by alphabet and length, and natural runs that are taken for one."""
+    import string
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        tokens = secrets._tokens(f.read(), P.PATTERN)
+    rng = random.Random(3)
+    lower, letters = string.ascii_lowercase, string.ascii_letters
+    short = {lower: 0.6, letters + string.digits + "+/": 0.85}  # under 20 characters; a part before a slash may look like a folder
+    for alphabet in (letters, letters + string.digits, letters + string.digits + "+/", lower + string.digits, string.ascii_uppercase + string.digits, lower):
+        for n in (16, 18, 20, 24, 32, 40):
+            strings = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            found = sum(any(k == "random" and b - a >= 0.8 * n for k, a, b in secrets.spans(f"the {x} end", tokens)) for x in strings)
+            assert found >= (0.9 if n >= 20 else short.get(alphabet, 0.9)) * 300, (alphabet, n, found)
+    words = {m[0] for r in spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("text").collect() for m in secrets.RUN.finditer(r.text or "") if m[0].rstrip(".").isalpha()}
+    wrong = [w for w in words if secrets.spans(w, tokens)]
+    assert len(words) > 50 and len(wrong) <= 0.02 * len(words), wrong
+
+
+def test_a_fixed_pattern_inside_a_longer_string():
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        tokens = secrets._tokens(f.read(), P.PATTERN)
+    whole = "zK9deadbeefdeadbeef00xQ7mP2vL8r"
+    assert secrets.spans(f"a {whole} b", tokens) == [("random", 2, 2 + len(whole)), ("hex", 4, 23)]
+    assert secrets.masked(f"a {whole} b", tokens) == "a [SECRET] b"
+    assert [k for k, *_ in secrets.spans("build-9f86d081884c7d659a2f.tar", tokens)] == ["hex"]
