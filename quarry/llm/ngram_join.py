@@ -8,8 +8,8 @@ them: it is found by the first order's tokens and then has to overlap in the oth
 whole sets.
 
 Equal sets are one class from the start. Links between classes are found in two steps, so that large groups of near copies
-never emit all of their pairs: first each class against the representative of each of its buckets; then, between what is
-not yet connected, the rest. Connected components of all links are exact.
+never emit all of their pairs: first each class against the representative of each of its buckets; then what is not connected
+with the representative against the bucket's other components. Connected components of all links are exact.
 
 Ranks come from counts over all shingles of all documents. Texts are read in chunks; a chunk's tokens go out as packed counts
 by hash range, each range is summed up in one task, and what comes back to the chunk is one byte for each of its tokens. So
@@ -320,16 +320,19 @@ def _joined(docs: DataFrame, width: int, similarity: float, key: str, text: str,
     hundredths = round(similarity * 100)
     similarity = hundredths / 100
     sets, classes, nodes, spread = _read(docs, key, text, width, similarity, orders, buffer)
-    sizes = spread.groupBy("head").agg(F.count("*").alias("_c"))
+    sizes = written(spread.groupBy("head").agg(F.count("*").alias("_c")), "sizes")
     heads = written(_side("y", nodes.select(F.col("id").alias("head"), "n", "sketch").join(sizes, "head")), "heads")
     star = hot_joined(_side("x", spread).filter("x_id <> head"), heads, ["head"], "y__c").filter(_plausible(similarity))
     stars = written(_verified(star.select(F.col("head").alias("a"), F.col("x_id").alias("b")), nodes, hundredths, orders), "stars")
     part = components(stars).toDF("id", "comp")
-    placed = written(spread.join(part, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
-    mixed = placed.groupBy("head").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_c")).filter("_lo < _hi").select("head", "_c")
-    rest = written(hot_joined(placed, written(mixed, "mixed"), ["head"], "_c"), "rest")
-    cross = salted_joined(_side("x", rest), _side("y", rest), "head", "x_id", counted=rest)
-    cross = cross.filter((F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _plausible(similarity))
+    placed = spread.join(part, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # What is not connected with the head of its bucket meets all that is in the bucket.
+    own = written(placed.filter("id = head").select("head", F.col("comp").alias("own")).join(sizes, "head"), "own")
+    placed = written(hot_joined(placed, own, ["head"], "_c").drop("_c").withColumn("loose", F.col("comp") != F.col("own")), "loose")
+    open_ = written(placed.groupBy("head").agg(F.count("*").alias("_c"), F.max("loose").alias("_any")).filter("_any").select("head", "_c"), "open")
+    every = written(hot_joined(placed, open_, ["head"], "_c"), "every")
+    cross = salted_joined(_side("y", every), _side("x", every.filter("loose")), "head", "y_id", counted=every)
+    cross = cross.filter((F.col("x_comp") != F.col("y_comp")) & (~F.col("y_loose") | (F.col("x_id") < F.col("y_id"))) & _plausible(similarity))
     crossed = written(_verified(cross.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), nodes, hundredths, orders), "crossed")
     whole = components(stars.unionByName(crossed)).toDF("id", "comp")
     grouped = written(classes.join(whole, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "grouped")
