@@ -2,13 +2,18 @@
 
 Many voters look at a document: lexicon voters (a word, or words with a given beginning, occurs) and pattern voters. A
 generative label model estimates from their votes alone how often each fires in either class and which of them agree more
-than that explains; agreeing voters share one vote. Its posteriors are the labels of a sparse linear classifier over word
+than that explains; those share one vote where they fire together. Its posteriors are the labels of a sparse linear classifier over word
 beginnings, which scores every text.
 
-The annotators' labels are one more voter. The voters' lexicons are a short public list and what stands out in a bounded
-sample of labelled rows (SAMPLE rows of each
-label at most, in the order of a hash of their id). All other steps cover every row. Null and empty texts get the score of
-a text without any feature; repeated rows get equal scores; other columns are kept and never used.
+The annotators' labels are no voter and no target. They choose the lexicons' candidates (what stands out in toxic texts
+more than chance among so many words allows; a short public list is always among them) and give the share of toxic rows;
+the label model and the classifier then see votes and words only, of labelled rows and of rows without a label alike. So a
+wrong label is outvoted. Fitted are SAMPLE rows of each label and UNLABELLED others at most, the first by a hash; their
+words are counted in Spark, and the driver gets FEATURES counts and, of each row, which of those occur. All texts are scored.
+
+Null and empty texts get the score of a text without any feature; repeated rows get equal scores; of an id with several
+texts the one of the least hash is fitted; rows whose id is null are scored and not fitted; other columns are kept and never
+used.
 """
 
 from __future__ import annotations
@@ -22,17 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import flat, slices
+from quarry.llm.common import written
 from quarry.llm.wordhash import LETTERS, LOWER, hashes, prefixes, words
 
-#: Labelled rows of each label that the models are fitted on, at most.
-SAMPLE = 2500
+#: Rows of each label, and rows whose label is not asked for, that the models are fitted on, at most.
+SAMPLE, UNLABELLED = 2500, 5000
 #: Voters, features of the classifier, and sizes of the word beginnings.
 VOTERS, FEATURES, SHORTEST, LONGEST = 160, 2000, 4, 8
 # Insults of public word lists; each starts with this weight in the classifier.
 LEXICON, LISTED = "idiot moron stupid trash scum clown loser worthless disgusting pathetic".split(), 3.0
-#: How often the label model takes an annotator to be right, to begin with.
-ANNOTATOR = 0.97
-
 
 def folded(raw: np.ndarray) -> np.ndarray:
     """Lower case for ASCII and for the accented letters of two bytes that start with C3."""
@@ -90,38 +93,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def label_model(votes: np.ndarray, annotated: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, how often each voter fires in either class, and the share of a vote that each voter has.
+def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of each row, how often each voter fires in either class, and the correlations that the classes do not explain.
 
-    votes: rows x voters, fired or not. annotated: the vote of the annotators, one more voter, who votes on every row and
-    whose rate of error is estimated like the rest. Firing rates come from expectation
-    maximisation; after each round the voters' correlations that the classes do not explain give each voter the share
-    1 / (1 + sum of its positive correlations), so that a cluster of copies has one vote together.
+    votes: rows x voters, fired or not; the first `lexicon` of them are words of which none holds another. To begin with, a row
+    is as likely toxic as the most agreeing of its words finds another one of them by its side. Firing rates come from
+    expectation maximisation, in the course of which the correlations are estimated; where correlated voters fire on one row,
+    each has the share 1 / (1 + sum of its correlations with the others), so that a cluster has one vote together.
     """
     v = votes.astype(float)
     n, m = v.shape
-    share = np.ones(m)
-    q = np.where(annotated, ANNOTATOR, 1 - ANNOTATOR)
-    right = np.array([ANNOTATOR, ANNOTATOR])
-    rates = np.zeros((2, m))
+    own = v[:, :lexicon]
+    agreeing = (own * (own.sum(1, keepdims=True) > 1)).sum(0) / np.maximum(own.sum(0), 1)
+    q = np.clip((own * agreeing).max(1, initial=0), 0.01, 0.99)
+    rates, corr = np.zeros((2, m)), np.zeros((m, m))
     for step in range(rounds):
         w = np.stack([1 - q, q])
-        rates = (w @ v + np.array([[0.02], [0.5]])) / (w.sum(1, keepdims=True) + np.array([[2.0], [2.0]]))
-        rates = np.clip(rates, 1e-5, 1 - 1e-5)
-        hits = np.array([((1 - q) * ~annotated).sum(), (q * annotated).sum()])
-        right = (hits + 20 * ANNOTATOR) / (w.sum(1) + 20)
-        if step % 5 == 1:
+        rates = np.clip((w @ v + np.array([[0.02], [0.1]])) / (w.sum(1, keepdims=True) + 2.0), 1e-5, 1 - 1e-5)
+        if step % 5 == 4:
             rest = v - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
             corr = (rest.T @ rest) / n / np.outer(scale, scale)
             np.fill_diagonal(corr, 0)
-            share = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
-        # Silence is weak evidence: all voters' silence together counts as much as one vote.
-        quiet = np.log1p(-rates[1]) - np.log1p(-rates[0])
-        fire = np.log(rates[1]) - np.log(rates[0])
-        odds = np.log(prior / (1 - prior)) + np.where(annotated, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])) + (v * share) @ fire + ((1 - v) * share) @ quiet / max(1.0, share.sum()) * 4
+            corr = np.where(corr > 0.2, corr, 0)
+        # Silence is weak evidence: all voters' silence together counts as much as that of four voters.
+        quiet, fire = np.log1p(-rates[1]) - np.log1p(-rates[0]), np.log(rates[1]) - np.log(rates[0])
+        odds = np.log(prior / (1 - prior)) + (v / (1 + v @ corr)) @ fire + (1 - v) @ quiet / m * 4
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, rates, share
+    return q, rates, corr
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, decay: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
@@ -140,100 +139,125 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray
     return w, b
 
 
-def _all(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    pairs = list(features(texts))
-    return np.concatenate([t for t, _ in pairs]), np.concatenate([h for _, h in pairs])
-
-
-def _once(text: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The features of all texts, each once for a text."""
-    by = np.lexsort((h, text))
-    text, h = text[by], h[by]
-    return h[np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]] if len(h) else h
-
-
-def _found(texts: pa.Array, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """By slice: where it starts, and (text number, place in the sorted keys) of the keys that occur, each once for a text."""
-    for start, part in slices(texts, 200_000):
-        text, h = _all(part)
-        at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-        hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-        once = np.unique(text[hit] * len(keys) + at[hit])
-        yield start, once // max(len(keys), 1), once % max(len(keys), 1)
-
-
-def fitted(texts: list[str | None], labels: np.ndarray, prior: float) -> Model:
-    """Voters, label model and classifier from labelled texts; prior: share of the toxic among labelled rows."""
-    labels = np.asarray(labels, dtype=bool)
-    public = np.unique(np.concatenate([next(features(pa.array([w], pa.large_string())))[1] for w in LEXICON]))  # the whole words
-    if not len(texts) or labels.all() or not labels.any():  # the public list alone
-        return Model(public, np.full(len(public), LISTED), -LISTED / 2)
-    arr = pa.array([x or "" for x in texts], pa.large_string())
-    n1, n0 = int(labels.sum()), int((~labels).sum())
-    least = 3 if n1 >= 60 else 2
-    # Features of enough toxic texts first; the clean ones are then counted for those alone.
-    held = [_once(t, h) for _, part in slices(arr.filter(pa.array(labels)), 200_000) for t, h in [_all(part)]]
-    keys, toxic = np.unique(np.concatenate(held), return_counts=True)
-    enough = (toxic >= least) | np.isin(keys, public)
-    keys, toxic = keys[enough], toxic[enough]
-    del held
-    clean = np.zeros(len(keys), dtype=np.int64)
-    for start, text, at in _found(arr.filter(pa.array(~labels)), keys):
-        clean += np.bincount(at, minlength=len(keys))
-    rate1, rate0 = (toxic + 0.1) / (n1 + 1), (clean + 0.1) / (n0 + 1)
-    lift = np.log(rate1 / rate0)
-    listed = np.isin(keys, public)
-    # What stands out: the worth is the evidence that a feature brings over all texts.
-    worth = np.where((lift > 1.5) | listed, np.maximum(toxic * lift, 1e-3), 0)
-    chosen = np.argsort(-worth, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[worth[chosen] > 0])
-    x = np.zeros((len(texts), len(chosen)), dtype=np.float32)
-    for start, text, at in _found(arr, keys[chosen]):
-        x[start + text, at] = 1
-    # Voters: by worth, one of those that fire on the same texts, together with the public list's words and the patterns.
-    order = np.argsort(-(worth[chosen] + 1e6 * listed[chosen]), kind="stable")
-    seen, voters = set(), []
-    for k in order:
-        if len(voters) == VOTERS:
-            break
-        sign = x[:, k].tobytes()
-        if sign not in seen:
-            seen.add(sign)
-            voters.append(k)
-    votes = np.concatenate([x[:, voters] > 0, np.concatenate([shapes(part) for _, part in slices(arr, 200_000)])], axis=1)
-    useful = votes[:, len(voters) :]
-    keep = np.r_[np.ones(len(voters), bool), np.array([(useful[labels, k].mean() > 3 * useful[~labels, k].mean()) for k in range(useful.shape[1])], dtype=bool)]
-    posterior, _, _ = label_model(votes[:, keep], labels, n1 / len(labels))
+def _public() -> np.ndarray:
+    """The features of the listed words, as whole words."""
+    return np.unique(np.concatenate([next(features(pa.array([w], pa.large_string())))[1] for w in LEXICON]))
+
+
+def _apart(votes: np.ndarray) -> np.ndarray:
+    """Of voters in order of worth, those that do not fire on hardly any but the texts of one before, as beginnings of one word do."""
+    own, chosen = votes.sum(0), []
+    both = votes.astype(np.float32).T @ votes.astype(np.float32)
+    for j in range(votes.shape[1]):
+        if own[j] and all(both[j, k] <= 0.9 * min(own[j], own[k]) for k in chosen):
+            chosen.append(j)
+    return np.array(chosen, dtype=int)
+
+
+def fitted(x: np.ndarray, keys: np.ndarray, strong: np.ndarray, shaped: np.ndarray, prior: float) -> tuple[Model, np.ndarray]:
+    """The classifier and the posteriors of the rows, from votes and features alone.
+
+    x: rows x keys, whether a feature occurs. strong: the features that are voters, the worthiest first. shaped: votes of the
+    patterns. prior: the share of the toxic.
+    """
+    public = _public()
+    lexicon = x[:, strong] > 0
+    lexicon = lexicon[:, _apart(lexicon)]
+    posterior, _, _ = label_model(np.concatenate([lexicon, shaped], axis=1), lexicon.shape[1], prior)
     # Both classes weigh the same: a missed text costs as much as a wrong alarm among as many texts.
-    weight = np.where(labels, 0.5 / n1, 0.5 / n0)
-    w, b = logistic(x, posterior, weight / weight.mean(), np.where(listed[chosen], LISTED, 0.0))
+    weight = posterior / max(posterior.sum(), 1e-9) + (1 - posterior) / max((1 - posterior).sum(), 1e-9)
+    w, b = logistic(x, posterior, weight / weight.mean(), np.where(np.isin(keys, public), LISTED, 0.0))
     # Where the classes leave a gap, the middle of the gap is the score 1/2.
-    logit = x @ w + b
-    low, high = np.quantile(logit[~labels], 0.999), np.quantile(logit[labels], 0.01)
-    if low < high:
-        b -= (low + high) / 2
+    logit, is_toxic = x @ w + b, posterior >= 0.5
+    if is_toxic.any() and not is_toxic.all():
+        low, high = np.quantile(logit[~is_toxic], 0.999), np.quantile(logit[is_toxic], 0.01)
+        if low < high:
+            b -= (low + high) / 2
     keep = np.abs(w) > 1e-4
     unseen = np.setdiff1d(public, keys)
-    all_keys, all_weights = np.concatenate([keys[chosen[keep]], unseen]), np.concatenate([w[keep], np.full(len(unseen), LISTED)])
+    all_keys, all_weights = np.concatenate([keys[keep], unseen]), np.concatenate([w[keep], np.full(len(unseen), LISTED)])
     by = np.argsort(all_keys)
-    return Model(all_keys[by], all_weights[by], float(b))
+    return Model(all_keys[by], all_weights[by], float(b)), posterior
 
 
 def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5
 
 
-def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE) -> Model:
-    """Fits on labelled rows outside of fold 0: the per_label first of each label by a hash of the id."""
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(key).agg(F.max(label).alias("_y"))
-    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    rows = None
-    for y in (0, 1):
-        part = known.filter(F.col("_y") == y).orderBy(F.xxhash64(F.lit(1), key), key).limit(per_label)
-        rows = part if rows is None else rows.unionByName(part)
-    got = docs.select(key, text).join(F.broadcast(rows), key).dropDuplicates([key]).orderBy(key).toPandas()  # 2 per_label rows at most
-    total = sum(counts.values())
-    return fitted(list(got[text]), got["_y"].to_numpy() == 1, counts.get(1, 0) / total if total else 0.1)
+def _extracted(texts: DataFrame) -> DataFrame:
+    """k, y, fs (the distinct features) and shapes of each text; repeated rows once."""
+    kind, names = texts.schema["k"].dataType.simpleString(), ["k", "h", "y", "fs", "shapes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, part in slices(batch.column(3)):
+                pairs = list(features(part))
+                text, h = np.concatenate([t for t, _ in pairs]), np.concatenate([f for _, f in pairs]).view(np.int64)
+                by = np.lexsort((h, text))
+                text, h = text[by], h[by]
+                new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])] if len(h) else np.zeros(0, bool)
+                cut = np.r_[0, np.cumsum(np.bincount(text[new], minlength=len(part)))].astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[new], pa.int64()))
+                votes = pa.array(shapes(part).tolist(), pa.list_(pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in range(3)), found, votes], names=names)
+
+    return texts.select("k", "h", "y", "t").mapInArrow(run, f"k {kind}, h bigint, y int, fs array<bigint>, shapes array<boolean>").dropDuplicates(["k", "h"])
+
+
+def _chosen(found: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted features that stand out in toxic texts, and their worth; and the least worth that chance does not give."""
+    counted = found.filter("y IS NOT NULL").select("y", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+    counted = written(counted, "counted")
+
+    def part(seen: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (F.col("n") * share))).otherwise(0.0)
+
+    share = n1 / (n1 + n0)
+    worth = 2 * (part(F.col("t"), share) + part(F.col("n") - F.col("t"), 1 - share))  # the likelihood ratio's statistic
+    lift = (F.col("t") + 0.1) / (n1 + 1) / ((F.col("n") - F.col("t") + 0.1) / (n0 + 1))
+    listed = F.col("f").isin(*_public().view(np.int64).tolist())
+    some = counted.filter(listed | ((F.col("t") >= (3 if n1 >= 60 else 2)) & (lift > 4.5)))
+    top = some.select("f", F.when(listed, worth + 1e6).otherwise(worth).alias("g")).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
+    least = 2 * np.log(max(counted.count(), 1) / 0.05)
+    keys, gains = np.array([r["f"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["g"] for r in top])
+    by = np.argsort(keys)
+    return keys[by], gains[by], least
+
+
+def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
+    """Fits on rows outside of fold 0: the per_label first of each label, and `unlabelled` others, by a hash."""
+    return _trained(docs, labels, key, text, label, per_label, unlabelled)[0]
+
+
+def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int, unlabelled: int) -> tuple[Model, dict]:
+    """The model, and the posterior of each fitted row by its key."""
+    public = _public()
+    listed = Model(public, np.full(len(public), LISTED), -LISTED / 2), {}
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(F.col(key)) != 0)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    firsts = [known.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(1), "k"), "k").limit(per_label) for y in (0, 1)]
+    rows = docs.filter(F.col(key).isNotNull() & (fold(F.col(key)) != 0)).select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t"))
+    own = rows.join(F.broadcast(firsts[0].unionByName(firsts[1])), "k").groupBy("k", "y").agg(F.min("h").alias("h"))  # 2 per_label rows at most
+    own = written(own, "labelled")
+    others = rows.groupBy("k").agg(F.min("h").alias("h")).orderBy(F.xxhash64(F.lit(2), "k"), "k").limit(unlabelled)
+    sample = own.select("k", "h", "y").unionByName(others.join(F.broadcast(own.select("k")), "k", "left_anti").select("k", "h", F.lit(None).cast("int").alias("y")))
+    found = written(_extracted(rows.join(F.broadcast(written(sample, "sample")), ["k", "h"])), "extracted")
+    counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not counts.get(0) or not counts.get(1):  # the public list alone
+        return listed
+    keys, worth, least = _chosen(found, counts[1], counts[0])
+    index = docs.sparkSession.createDataFrame([(int(f), i) for i, f in enumerate(keys.view(np.int64))], "f bigint, i int")
+    hits = found.select("k", F.explode("fs").alias("f")).join(F.broadcast(index), "f").groupBy("k").agg(F.collect_list("i").alias("hits"))
+    got = found.select("k", "shapes").join(hits, "k", "left").orderBy("k").collect()  # a row each, FEATURES numbers at most
+    x = np.zeros((len(got), len(keys)), dtype=np.float32)
+    for row, r in zip(x, got):
+        row[r["hits"] or []] = 1
+    order = np.argsort(-worth, kind="stable")
+    strong = order[worth[order] >= least][:VOTERS]
+    if not len(strong):
+        return listed
+    model, posterior = fitted(x, keys, strong, np.array([r["shapes"] for r in got], dtype=bool), shares[1] / (shares[0] + shares[1]))
+    return model, {r["k"]: float(p) for r, p in zip(got, posterior)}
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -220,6 +220,14 @@ def test_toxicity_edges(spark, edge):
     assert list(known.held_out) == [zlib.crc32(str(int(i)).encode()) % 5 == 0 for i in known.doc_id]
 
 
+def test_toxicity_on_held_out_labels(spark):
+    where = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
+    held = [(truth[r.doc_id], r.predicted) for r in queries.QUERIES["op10_toxicity"](spark, where).collect() if r.held_out and r.doc_id in truth]
+    wrong = sum(p and not t for t, p in held)
+    assert sum(p and t for t, p in held) >= 0.6 * sum(t for t, _ in held) and wrong <= 0.02 * len(held)
+
+
 def test_line_dedup_edges(spark, edge):
     got = {(-1 if math.isnan(r.doc_id) else int(r.doc_id)): r for r in result(spark, "op7_line_dedup", edge).itertuples()}
     cut = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -147,22 +148,52 @@ def test_random_parts_of_runs():
         assert found(plain) == [], plain
 
 
-def test_toxicity_learns_word_beginnings():
+def toxic_tables(spark, flipped=()):
+    """Texts of which every fourth has some of three invented words' forms or a listed one; labels for most of them."""
     rng = random.Random(8)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
-    texts, labels = [], []
-    for k in range(400):
+    texts, truth = [], {}
+    for k in range(900):
         w = [rng.choice(words) for _ in range(60)]
         if k % 4 == 0:
-            w[rng.randrange(60)] = rng.choice(["zorkpa", "zorkpen", "zorkpuli", "Idiot"])
-        texts.append(" ".join(w))
-        labels.append(k % 4 == 0)
-    model = toxicity.fitted(texts[:300], np.array(labels[:300]), 0.25)
-    score = model.scores(pa.array(texts[300:]))
-    assert ((score >= 0.5) == np.array(labels[300:])).mean() > 0.95
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(60)] = rng.choice(["zorkpa", "zorkpen", "zorkpuli", "Idiot", "brumfel", "brumfata", "keldo"])
+        texts.append((k, " ".join(w)))
+        truth[k] = k % 4 == 0
+    docs = spark.createDataFrame(texts + [(None, "you idiot"), (1000, None), (1000, ""), (1001, "zorkpix")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(t != (k in flipped))) for k, t in truth.items() if k % 7], "doc_id bigint, toxic int")
+    return docs, labels, truth
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels, truth = toxic_tables(spark)
+    model = toxicity.trained(docs, labels)
+    got = toxicity.scored(docs, model).join(docs.select("doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("out")).distinct(), "doc_id", "left").collect()
+    held = [(truth[r.doc_id], r.score >= 0.5) for r in got if r.doc_id in truth and r.out]
+    assert len(held) > 100 and sum(a == b for a, b in held) >= 0.95 * len(held)
     assert (model.scores(pa.array(["you idiot", "", "zorkpix"])) >= 0.5).tolist() == [True, False, True]
 
 
+def test_flipped_labels_are_mended(spark):
+    """A tenth of the labels is wrong: the posteriors follow the votes, not them."""
+    flipped = {k for k in range(900) if k % 10 == 3 or k % 40 == 8}
+    docs, labels, truth = toxic_tables(spark, flipped)
+    model, posterior = toxicity._trained(docs, labels, "doc_id", "text", "toxic", 500, 500)
+    wrong = [k for k in posterior if k in flipped and k % 7]
+    assert len(wrong) > 40 and sum((posterior[k] >= 0.5) == truth[k] for k in wrong) >= 0.9 * len(wrong)
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0]
+    score = dict(zip(held, model.scores(pa.array([r.text for r in sorted(docs.filter(F.col("doc_id").isin(held)).collect(), key=lambda r: r.doc_id)]))))
+    assert sum((score[k] >= 0.5) == truth[k] for k in held) >= 0.95 * len(held)
+    assert not any(zlib.crc32(str(k).encode()) % 5 == 0 for k in posterior)
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels, _ = toxic_tables(spark)
+    for some in (labels.limit(0), labels.filter("toxic = 0")):
+        scores = toxicity.trained(docs, some).scores(pa.array(["you idiot", ""]))
+        assert scores[0] > 0.5 > scores[1]
+
+
 def test_units_join_to_the_text(spark):
     df = table(spark).filter("text is not null")
     assert df.filter(F.array_join(line_dedup.units(F.col("text")), "") != F.col("text")).count() == 0
