@@ -45,9 +45,9 @@ def decode_table(df: DataFrame, values=NIBBLES) -> DataFrame:
 
 
 def decode_array(df: DataFrame, values=NIBBLES) -> DataFrame:
-    """One lookup in a literal array of 256 pairs."""
-    pairs = F.array(*[F.array(F.lit(values[i >> 4]), F.lit(values[i & 15])) for i in range(256)])
-    return _halves(df, F.element_at(pairs, F.col("b") + 1))
+    """One place in a literal array of 256 pairs."""
+    flat = F.expr(f"array({', '.join(str(values[h]) for i in range(256) for h in (i >> 4, i & 15))})")
+    return _halves(df, F.array(F.element_at(flat, 2 * F.col("b") + 1), F.element_at(flat, 2 * F.col("b") + 2)))
 
 
 def decode_map(df: DataFrame, values=NIBBLES) -> DataFrame:

@@ -32,7 +32,7 @@ def semi_count(r: DataFrame, s: DataFrame, strategy: str = "aggregated", bits: t
     as aggregated. radix: one exchange on the key's radix partition of 2^bits, or two levels. merge: sorted on both sides.
     """
     if strategy == "broadcast" and estimated_bytes(r) <= broadcast_bytes:
-        return s.join(F.broadcast(r), "key", "left_semi").agg(F.count("*").alias("n"))
+        return s.join(F.broadcast(r.distinct()), "key", "left_semi").agg(F.count("*").alias("n"))
     if strategy == "merge":
         return s.join(r.hint("merge"), "key", "left_semi").agg(F.count("*").alias("n"))
     if strategy == "radix":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import dictionary
 from quarry.operators import access, joins, keyset, radix, relational
-from quarry.sources.tables import operation, operation_log, preview, repeated_keys, table, uniform, unique_keys
+from quarry.sources.tables import operation, operation_log, preview, repeated_keys, result_sink, table, twin_columns, uniform, unique_keys
 from quarry.streaming import keyed_set
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,8 +60,11 @@ _query("agg_empty", f"SELECT CAST(COALESCE(SUM(x), 0) AS BIGINT) AS s, COUNT(*)
 )
 _query("model_volcano", _Q0)(lambda s, d: relational.total(relational.select(_x(relational.modelled(s, "tuple"), d), NEQ5)))
 _query("model_vectorized", _Q0)(lambda s, d: relational.total(relational.select(_x(relational.modelled(s, "vector"), d), NEQ5)))
-_query("model_materialized", _Q0)(lambda s, d: relational.total(relational.select(_x(s, d), NEQ5, materialize=True)))
+_query("model_materialized", _Q0)(lambda s, d: relational.total_materialized(_x(s, d), NEQ5))
 _query("preview_top10", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")(lambda s, d: preview(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]))
+_query("result_sink", "SELECT o_orderkey, o_totalprice, (SELECT COUNT(*) FROM orders) AS total FROM orders ORDER BY o_orderkey LIMIT 10")(
+    lambda s, d: result_sink(table(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+)
 _query("run_median", "SELECT CAST(MEDIAN(o_totalprice) AS DOUBLE) AS m FROM orders")(lambda s, d: relational.median_of(table(s, d, "orders"), "o_totalprice"))
 _query("sorted_keys", "SELECT DISTINCT o_custkey AS key FROM orders ORDER BY key")(lambda s, d: keyset.ordered(joins.keys_of(table(s, d, "orders"), "o_custkey")))
 
@@ -79,6 +82,9 @@ _query("selectivity_sweep", "SELECT CAST(sel AS INTEGER) AS sel, COUNT(*) FILTER
     lambda s, d: relational.count_below_each(table(s, d, "lineitem"), F.col("l_partkey") % 100, SWEEP)
 )
 
+_query("selectivity_sweep_chunks", """SELECT CAST(o_orderkey // 4096 AS BIGINT) AS chunk, CAST(sel AS INTEGER) AS sel, COUNT(*) FILTER (WHERE o_custkey % 100 < sel) AS n
+FROM orders, (VALUES (1), (10), (50), (90), (99)) AS t(sel) GROUP BY 1, 2""")(lambda s, d: relational.count_below_chunks(table(s, d, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 100, SWEEP, 4096))
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 
@@ -158,8 +164,10 @@ _query("cycle_sequential", _cycle_sql("id"))(lambda s, d: access.strided(_cells(
 _query("cycle_stride", _cycle_sql("id % 7, id // 7"))(lambda s, d: access.strided(_cells(s, d), 7))
 _query("cycle_reverse", _cycle_sql("(n - 1 - id) % 7, (n - 1 - id) // 7"))(lambda s, d: access.strided_back(_cells(s, d), 7))
 _query("cycle_random", _cycle_sql("md5('42-' || CAST(id AS VARCHAR))"))(lambda s, d: access.shuffled(_cells(s, d)))
-_query("cycle_traverse", "SELECT COUNT(*) AS cells, COUNT(*) AS returned, COUNT(DISTINCT p_partkey) AS successors FROM part")(
-    lambda s, d: access.traversed(access.shuffled(_cells(s, d)), _cells(s, d).count())
+_query("cycle_traverse", f"""WITH RECURSIVE c AS MATERIALIZED ({_cycle_sql("md5('42-' || CAST(id AS VARCHAR))")}),
+w(id, k) AS (SELECT CAST(0 AS BIGINT), 0 UNION ALL SELECT c.next, k + 1 FROM w JOIN c USING (id) WHERE k < (SELECT COUNT(*) FROM part))
+SELECT (SELECT COUNT(*) FROM c) AS cells, CASE WHEN COUNT(DISTINCT id) = COUNT(*) - 1 AND MAX(k) FILTER (WHERE id = 0) = COUNT(*) - 1 THEN COUNT(*) - 1 ELSE 0 END AS returned,
+  (SELECT COUNT(DISTINCT next) FROM c) AS successors FROM w""")(    lambda s, d: access.traversed(access.shuffled(_cells(s, d)), _cells(s, d).count())
 )
 _query("cell_members", "SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT o_custkey FROM orders)")(
     lambda s, d: access.members(table(s, d, "orders").select(F.col("o_custkey").alias("id")), _cells(s, d))
@@ -173,6 +181,9 @@ _query("gen_uniform", "SELECT CAST(10000 AS BIGINT) AS n, TRUE AS inside, CAST(1
 _query("gen_unique_keys", "SELECT CAST(4096 AS BIGINT) AS n, CAST(4096 AS BIGINT) AS keys, TRUE AS inside")(
     lambda s, d: unique_keys(s, 4096).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"), F.bool_and((F.col("key") >= 0) & (F.col("key") < 4096 * 16)).alias("inside"))
 )
+_query("gen_twin_columns", "SELECT CAST(20000 AS BIGINT) AS n, CAST(20000 AS BIGINT) AS alike, CAST(100 AS BIGINT) AS seen")(
+    lambda s, d: twin_columns(s, 20_000).agg(F.count("*").alias("n"), F.count_if(F.col("in8").cast("long") == F.col("in64")).alias("alike"), F.count_distinct("in8").alias("seen"))
+)
 _query("gen_repeated_keys", "SELECT CAST(20000 AS BIGINT) AS n, CAST(64 AS BIGINT) AS keys")(lambda s, d: repeated_keys(s, 20_000, 64).agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys")))
 _query("gen_operation_mix", "SELECT op, CAST(n AS BIGINT) AS n FROM (VALUES ('contains', 600), ('insert', 200), ('remove', 200)) AS t(op, n)")(
     lambda s, d: operation_log(s, 1000).groupBy("op").agg(F.count("*").alias("n"))
@@ -204,8 +215,10 @@ SELECT i, key, op, COALESCE(LAST_VALUE(CASE WHEN op = 'insert' THEN TRUE WHEN op
     _query(f"set_insert_{_tag}", f"SELECT key FROM {_base} AS b UNION SELECT key FROM {_ops} WHERE op = 'insert'")(
         lambda s, d, x=_sparse: keyset.insert(_start(s, x), _log(s, d, x).filter("op = 'insert'"))
     )
-    _query(f"set_remove_{_tag}", f"SELECT key FROM {_base} AS b EXCEPT SELECT key FROM {_ops} WHERE op = 'remove'")(
-        lambda s, d, x=_sparse: keyset.remove(_start(s, x), _log(s, d, x).filter("op = 'remove'"))
+    # Every dense key is removed at some time, so this set starts with as many keys that no operation names.
+    _whole = f"(SELECT range AS key FROM range({_from if _sparse else 2 * DENSE}))"
+    _query(f"set_remove_{_tag}", f"SELECT key FROM {_whole} AS b EXCEPT SELECT key FROM {_ops} WHERE op = 'remove'")(
+        lambda s, d, x=_sparse: keyset.remove(_start(s, x) if x else s.range(2 * DENSE).select(F.col("id").alias("key")), _log(s, d, x).filter("op = 'remove'"))
     )
     _query(f"set_insert_then_contains_{_tag}", f"SELECT COUNT(*) AS n FROM {_ops} WHERE key < {_from} OR key IN (SELECT key FROM {_ops} WHERE op IN ('contains'))")(
         lambda s, d, x=_sparse: keyset.contains_count(keyset.insert(_start(s, x), _log(s, d, x).filter("op = 'contains'")), _log(s, d, x))

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session.
 
-    Only where it is unset (a single machine, as in tests) a temporary folder takes its place.
+    Only where it is unset and everything runs in one process (as in tests) a temporary folder takes its place, which goes
+    with the process; on a cluster that is an error, as executors would write to disks that nothing else can read.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: set it to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        path = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own[context.applicationId] = f"file://{path}"
+    return _own[context.applicationId]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The table stays until `removed` is called: results that read it are computed later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written, once their results are no longer needed; their number."""
+    context, gone = spark.sparkContext, 0
+    for path in _paths.pop(context.applicationId, []):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True))
+    return gone

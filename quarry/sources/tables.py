@@ -40,8 +40,16 @@ def uniform(spark: SparkSession, rows: int, domain: int = 100, seed: int = 42, n
 
 
 def unique_keys(spark: SparkSession, rows: int, spread: int = 16, seed: int = 42) -> DataFrame:
-    """rows distinct keys from [0, rows * spread): key i lies in the i-th stretch of `spread` numbers."""
-    return spark.range(rows).select((F.col("id") * spread + F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(spread))).alias("key"))
+    """rows distinct keys, a seeded sample of [0, rows * spread) with chance clusters and gaps.
+
+    A number is a pair (number // spread, number % spread); each round moves one half by a hash of the other, around the
+    end of its range, which gives every pair once.
+    """
+    left, right = F.floor(F.col("id") / spread).cast("long"), F.col("id") % spread
+    for k in range(3):
+        left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed + 2 * k), right), F.lit(rows)), F.lit(rows))
+        right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed + 2 * k + 1), left), F.lit(spread)), F.lit(spread))
+    return spark.range(rows).select((left * spread + right).alias("key"))
 
 
 def repeated_keys(spark: SparkSession, rows: int, domain: int = 1 << 16, seed: int = 42) -> DataFrame:
@@ -57,6 +65,12 @@ def packed_bytes(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
     return spark.range(rows).select(F.col("id").alias("pos"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(256)).cast("int").alias("b"))
 
 
+def twin_columns(spark: SparkSession, rows: int, domain: int = 100, seed: int = 42) -> DataFrame:
+    """The same values in a column of one byte and in one of eight, with the row's number."""
+    x = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(domain))
+    return spark.range(rows).select("id", x.cast("tinyint").alias("in8"), x.cast("long").alias("in64"))
+
+
 def operation_log(spark: SparkSession, rows: int, domain: int = 16, seed: int = 42) -> DataFrame:
     """Six lookups, two inserts and two removals in every ten operations."""
     return spark.range(rows).select(
@@ -77,6 +91,11 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def result_sink(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
+    """What a result sink shows: the first n rows, each with the number of all rows (`total`, a scalar subquery)."""
+    return preview(df, order, n).withColumn("total", df.select(F.count("*")).scalar())
+
+
 def preview(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
     """The first n rows in a total order (each task keeps n rows)."""
     return df.orderBy(*order).limit(n)

@@ -156,3 +156,81 @@ def test_generators_and_files(spark, tmp_path):
     tables.write_results(out, str(tmp_path / "csv"))
     assert tables.read_results(spark, str(tmp_path / "csv"), "name string, seconds double").count() == 1
     assert median_seconds(lambda: None) >= 0
+
+
+def test_materialized_model_lets_go_of_its_results(spark):
+    df = tables.uniform(spark, 500)
+    want = sum(r.x for r in df.collect() if r.x not in (11, 42))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert one(relational.total_materialized(df, [("<>", 11), ("<>", 42)])) == want
+    assert one(relational.total_materialized(df, [])) == sum(r.x for r in df.collect())
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_models_keep_the_caller_s_settings(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        own = relational.modelled(spark, "tuple")
+        assert own.conf.get("spark.sql.shuffle.partitions") == "3" and own.conf.get("spark.sql.codegen.wholeStage") == "false"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0] * 9, [1.0] * 50 + [2.0] * 50, [-1e300, 0.0, 1e300], [float(k * k % 97) for k in range(500)], [1.0, 1.0 + 2**-52] * 30])
+def test_median_in_steps(spark, values, monkeypatch):
+    from statistics import median
+
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for kept in (4, 1 << 16):
+        monkeypatch.setattr(relational, "SORTED", kept)
+        monkeypatch.setattr(relational, "RANGES", 8)
+        got = one(relational.median_of(df, "v"))
+        assert got is None if not values else got == pytest.approx(median(values), rel=1e-15)
+
+
+def test_keys_are_a_sample(spark):
+    """Distinct keys of a seeded sample leave gaps and clusters as chance does: about 1/e of the stretches have none."""
+    got = [r.key for r in tables.unique_keys(spark, 4000, 16).collect()]
+    assert len(set(got)) == 4000 and 0 <= min(got) and max(got) < 64_000
+    empty = 4000 - len({k // 16 for k in got})
+    assert 0.3 * 4000 < empty < 0.45 * 4000
+
+
+def test_counters_and_sink(spark):
+    runs = Runs(spark)
+    with runs.block("groups", rows=100):
+        spark.range(100).groupBy(F.col("id") % 7).count().write.format("noop").mode("overwrite").save()
+    row = runs.frame(spark).first()
+    assert row.counters["tasks"] > 0 and row.counters["shuffle_write_bytes"] > 0 and row.counters["cpu_ns"] > 0
+    assert [r.total for r in tables.result_sink(spark.range(30), ["id"], 4).collect()] == [30] * 4
+    assert tables.result_sink(spark.range(0), ["id"]).count() == 0
+
+
+def test_kept_tables(spark, monkeypatch):
+    import os
+
+    from quarry.sources import kept
+
+    there = kept.written(spark.range(5), "some")
+    assert there.count() == 5
+    path = kept._paths[spark.sparkContext.applicationId][-1].removeprefix("file://")
+    assert os.path.exists(path)
+    assert kept.removed(spark) >= 1 and not os.path.exists(path)
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://far:7077", "x"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        kept.shared_dir(Session())
+    Context.master = "local[4]"
+    assert kept.shared_dir(Session()) == kept.shared_dir(Session())
