@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as the
 next stage's docs. All stages but the last return the columns of documents.
+
+In every stage a row is told apart by its id and its text's hash, so one id, or none, may stand for several texts; further
+columns are kept whatever their names (the last stage leaves them out); an empty table gives no rows; texts are worked on
+whole, however long. What else holds for nulls, empty texts, ties and repeated rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -11,32 +15,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, ngram_join, packing, passages, secrets, toxicity
-from quarry.llm.common import table, written
+from quarry.llm.common import WORD, table, written
+
+
+#: A document that lost text stays if it has so many words left, or at least half of its characters.
+LEAST_WORDS = 50
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model accepts. It learns from the labelled rows among docs."""
+    """Documents that the toxicity model accepts. It learns from the labelled rows among docs.
+
+    Null and empty texts have the score of a text without any toxic word and stay; repeated rows stay or go together; without
+    labels of both kinds the public list alone decides.
+    """
     return toxicity.accepted(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines, and passages of over 50 words inside them, stay where they come first. A document of which nothing is left goes."""
-    out = passages.deduplicated(written(line_dedup.deduplicated(docs, length="n_chars"), "lines"), length="n_chars")
-    return out.filter((F.col("n_gone") + F.col("n_cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """Repeated runs of lines, and passages of over 50 words inside them, stay where they come first.
+
+    A document goes of which only a scrap is left: fewer than LEAST_WORDS words and less than half of its characters; it was a
+    copy or near copy, or made of others' passages. All that lost nothing stay, null and empty texts among them. First is the
+    least id, null last, of one id the least hash of the text; repeated rows of one id and text are one text.
+    """
+    before = docs.withColumn("__q_length", F.length("text"))
+    out = passages.deduplicated(written(line_dedup.deduplicated(before, length="n_chars"), "lines"), length="n_chars")
+    whole = (F.col("n_gone") + F.col("n_cut") == 0) | (2 * F.length("text") >= F.col("__q_length"))
+    return out.filter(whole | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of each group that links of five-word shingles, similarity 0.8 and more, connect."""
+    """One document of each group that links of five-word shingles, similarity 0.8 and more, connect: the one of the least id
+    (null last; of one id the one of the least hash of the text). Rows without words, and with null texts, are in no group and
+    all stay; of repeated rows one stays."""
     return ngram_join.deduplicated(docs, width=5, similarity=0.8).select(*docs.columns)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
+    """All documents, with their secrets masked and n_chars kept true. Null texts stay null; repeated rows are masked alike."""
     return secrets.redacted(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, length="n_chars").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens. Null and empty texts have the end id alone; repeated rows are packed one by one."""
     out = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
