@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import string
+
 import corpus_pipeline
 from helpers import stored
 
@@ -33,8 +37,57 @@ def test_run(spark, sf):
     assert out.count() > 0 and out.columns[0] == "doc_id"
 
 
-def test_documents_without_an_id_survive_the_near_stage(spark):
-    own, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
-    rows = [(1, other), (2, other + " end"), (None, own), (None, own), (None, own + " end of another"), (None, other), (None, None), (None, " ")]
-    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
-    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, [(1, other), (None, own), (None, own + " end of another"), (None, None), (None, " ")]))
+def test_near_stage_without_ids_and_with_one_id_on_two_texts(spark):
+    own, other, third = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, other), (2, other + " end"), (None, own), (None, own), (None, own + " end of another"), (None, other), (None, None), (None, " "), (5, third), (5, "some words of its own"), (9, third)]
+    got = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    named = sorted((r.doc_id, r.text) for r in got if r.doc_id is not None)
+    assert named == sorted([(1, other), (5, third), (5, "some words of its own")])
+    unnamed = [r.text for r in got if r.doc_id is None]
+    assert len(unnamed) == 3 and None in unnamed and " " in unnamed and len({own, own + " end of another"} & set(unnamed)) == 1
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+def test_no_scraps_of_near_copies(spark):
+    rng = random.Random(12)
+    sentences = [prose(rng, 12) + "." for _ in range(30)]
+    whole = " ".join(sentences)
+    copy = " ".join([*sentences[:10], prose(rng, 15) + ".", *sentences[11:]])
+    own = prose(rng, 80) + ". " + whole  # more than a scrap is left of it
+    rows = [(1, whole, 1), (2, copy, 1), (3, own, 1), (4, "short text", 1), (None, whole, 1), (5, None, None), (6, "", 0)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint"), "").collect()}
+    assert set(got) == {1, 3, 4, 5, 6} and got[1] == whole and 80 <= len(got[3].split()) < 100
+
+
+def test_filters_by_brute_force(spark, sf):
+    """Line dedup and the near-duplicate stage over the whole table: no window of 51 words and no near copy is there twice."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = corpus_pipeline.lines(spark, docs, sf).collect()
+    seen: dict = {}
+    for r in sorted(lines, key=lambda r: r.doc_id):
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        for k in range(len(w) - 50):
+            assert seen.setdefault(tuple(w[k : k + 51]), r.doc_id) == r.doc_id
+    near = corpus_pipeline.near(spark, docs, sf).collect()
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+        sets[r.doc_id] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    assert sorted(r.doc_id for r in near) == sorted(i for i in ids if find(i) == i)
