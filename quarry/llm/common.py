@@ -52,10 +52,10 @@ def salted_joined(many: DataFrame, one: DataFrame, on: str, by: Column | str, co
     the rows of one. how: inner or left."""
     share = counted.select((F.floor(F.count("*") / HOT) + 1).alias("n")).scalar()
     hot = counted.groupBy(on).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), on).limit(HOT)
-    hot = F.broadcast(written(hot.select(on, (F.floor(F.col("_c") / share) + 1).cast("int").alias("_salts")).filter("_salts > 1"), "hot"))
-    left = many.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = one.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    hot = F.broadcast(written(hot.select(on, (F.floor(F.col("_c") / share) + 1).cast("int").alias("__q_salts")).filter("__q_salts > 1"), "hot"))
+    left = many.join(hot, on, "left").withColumn("__q_salt", F.pmod(F.xxhash64(by), F.coalesce("__q_salts", F.lit(1))).cast("int")).drop("__q_salts")
+    right = one.join(hot, on, "left").withColumn("__q_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__q_salts", F.lit(1)) - 1))).drop("__q_salts")
+    return left.join(right, [on, "__q_salt"], how).drop("__q_salt")
 
 
 def named(key: str, text: str) -> Column:

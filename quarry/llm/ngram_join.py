@@ -348,11 +348,11 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key:
     """One row of docs for each component, with all its columns: that of the least id (of those with one id, or none, that of the
     least hash of the text). Rows without words are in no component and all stay."""
     found = _joined(docs, width, similarity, key, text, orders, buffer)
-    first = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("_x"), F.col(key).alias("_k"), F.col("h").alias("_h"))).alias("_one"))
+    first = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("__q_x"), F.col(key).alias("__q_k"), F.col("h").alias("__q_t"))).alias("_one"))
     first = written(first.select("_one.*"), "kept")
     rows = docs.withColumn("__q_h", _named(text))
     wordless = F.coalesce(F.length(F.translate(F.col(text), SPACES, "")) == 0, F.lit(True))
-    kept = rows.filter(~wordless).join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("__q_h") == F.col("_h")), "left_semi").dropDuplicates([key, "__q_h"])
+    kept = rows.filter(~wordless).join(first, F.col(key).eqNullSafe(F.col("__q_k")) & (F.col("__q_h") == F.col("__q_t")), "left_semi").dropDuplicates([key, "__q_h"])
     return kept.unionByName(rows.filter(wordless)).select(*docs.columns)
 
 
