@@ -18,7 +18,7 @@ from quarry.llm import line_dedup, ngram_join, packing, passages, secrets, toxic
 from quarry.llm.common import WORD, table, written
 
 
-#: A document that lost text stays if it has so many words left, or at least half of its characters.
+#: A document that lost text stays if it has so many words left, or at least a quarter of its characters.
 LEAST_WORDS = 50
 
 
@@ -34,13 +34,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines, and passages of over 50 words inside them, stay where they come first.
 
-    A document goes of which only a scrap is left: fewer than LEAST_WORDS words and less than half of its characters; it was a
+    A document goes of which only a scrap is left: fewer than LEAST_WORDS words and less than a quarter of its characters; it was a
     copy or near copy, or made of others' passages. All that lost nothing stay, null and empty texts among them. First is the
     least id, null last, of one id the least hash of the text; repeated rows of one id and text are one text.
     """
     before = docs.withColumn("__q_length", F.length("text"))
     out = passages.deduplicated(written(line_dedup.deduplicated(before, length="n_chars"), "lines"), length="n_chars")
-    whole = (F.col("n_gone") + F.col("n_cut") == 0) | (2 * F.length("text") >= F.col("__q_length"))
+    whole = (F.col("n_gone") + F.col("n_cut") == 0) | (4 * F.length("text") >= F.col("__q_length"))
     return out.filter(whole | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)).select(*docs.columns)
 
 
