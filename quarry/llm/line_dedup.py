@@ -1,13 +1,10 @@
 """Line dedup by winnowing over line hashes.
 
 Units are the lines of a text, and the sentences of a line. A window is the shortest run of units from a unit on that
-has MIN_WORDS words, or the shortest such run that ends the text; its fingerprint is the least hash of two units in a row (of
-the unit, if it has just one), so that equal runs of so many words always share a fingerprint. Only the minima are kept: a
-row for each run of windows with one minimum, with its place and a signature of what the windows hold. Minima that occur
-again are joined: where the signatures agree, the later run goes as a whole. Of the first run of each signature, and only
-where its minimum has other signatures as well, the windows are taken from the text again and matched one by one with their
-first occurrence. Adjoining matches extend each other both ways into maximal
-runs, which are deleted wherever they are not the first.
+has MIN_WORDS words, or the shortest such run that ends the text; its fingerprint is the least unit hash in it, so that equal
+runs of so many words always share a fingerprint. Windows are kept by runs of equal fingerprint; those whose fingerprint occurs
+once go no further. Of the others, equal windows are matched with their first occurrence, and adjoining matches extend each
+other both ways into maximal runs, which are deleted wherever they are not the first.
 
 So a unit is deleted if and only if it lies in a window that has occurred before; what follows the last whole window of a
 repeated run, less than MIN_WORDS words, stays if other text follows it. (Where a text repeats itself and the
@@ -65,19 +62,18 @@ def _windows(text: Column, least: int) -> Column:
     def solid(u: Column) -> Column:
         return F.trim(u, F.lit(BLANK))
 
-    def window(x: Column, i: Column, n: Column) -> Column:
-        least = F.when(n == 1, F.get(x["h"], i - 1)).otherwise(F.array_min(F.slice(x["g"], i, n - 1)))
-        return F.struct((i - 1).alias("p"), n.alias("n"), least.alias("f"), F.xxhash64(F.slice(x["h"], i, n)).alias("h"))
+    def window(hashes: Column, i: Column, n: Column) -> Column:
+        return bound(F.slice(hashes, i, n), lambda own: F.struct((i - 1).alias("p"), n.alias("n"), F.array_min(own).alias("f"), F.xxhash64(own).alias("h")))
 
     def of(x: Column) -> Column:
         size = F.size(x["w"])
-        each = F.transform(F.sequence(F.lit(1), size), lambda i: bound(_reach(x["w"], i, least), lambda n: F.when(n > 0, window(x, i, n))))
+        each = F.transform(F.sequence(F.lit(1), size), lambda i: bound(_reach(x["w"], i, least), lambda n: F.when(n > 0, window(x["h"], i, n))))
 
         def ended(found: Column) -> Column:
             """With the shortest run that ends the text, where no window does."""
             last = F.try_element_at(found, F.lit(-1))
             back = F.reverse(F.slice(x["w"], F.greatest(size - least + 1, F.lit(1)), F.lit(least)))
-            final = bound(_reach(back, F.lit(1), least), lambda n: F.array(window(x, size - n + 1, n)))
+            final = bound(_reach(back, F.lit(1), least), lambda n: F.array(window(x["h"], size - n + 1, n)))
             return F.when(last.isNull() | (last["p"] + last["n"] == size), found).otherwise(F.concat(found, final))
 
         return bound(F.filter(each, lambda y: y.isNotNull()), ended)
@@ -85,12 +81,8 @@ def _windows(text: Column, least: int) -> Column:
     def counted(u: Column) -> Column:
         return F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1
 
-    def hashed(u: Column) -> Column:
-        """Hashes of units, of each with the next one, and numbers of words."""
-        pairs = F.transform(u, lambda x, i: F.xxhash64(x, F.get(u, i + 1)))
-        return F.struct(F.transform(u, lambda x: F.xxhash64(x)).alias("h"), pairs.alias("g"), F.transform(u, lambda x: counted(x).cast("long")).alias("w"))
-
-    return bound(bound(F.transform(units(text), solid), hashed), of)
+    cut = bound(F.transform(units(text), solid), lambda u: F.struct(F.transform(u, lambda x: F.xxhash64(x)).alias("h"), F.transform(u, lambda x: counted(x).cast("long")).alias("w")))
+    return bound(cut, of)
 
 
 def _runs(windows: Column) -> Column:
@@ -112,40 +104,18 @@ def _runs(windows: Column) -> Column:
     return bound(windows, lambda w: F.when(F.size(w) > 0, of(w)))
 
 
-def _winnowed(texts: DataFrame, min_words: int) -> DataFrame:
-    """o, f, sig, p, e and again of each run of windows of fingerprint f: its units p to e, and whether it repeats itself."""
-    runs = texts.select("o", F.explode(_runs(_windows(F.col("t"), min_words))).alias("r")).select("o", "r.f", "r.ws")
-    hashes = F.transform("ws", lambda x: x["h"])
-    last = F.element_at("ws", -1)
-    return runs.select("o", "f", F.xxhash64(hashes).alias("sig"), F.col("ws")[0]["p"].alias("p"), (last["p"] + last["n"] - 1).alias("e"), (F.size(F.array_distinct(hashes)) < F.size("ws")).alias("again"))
-
-
-def _opened(texts: DataFrame, wanted: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
-    """o, f, h, p and n of the windows of the wanted runs (o, p, f), from the texts."""
-    marks = wanted.distinct().groupBy("o").agg(F.collect_set(F.struct("p", "f")).alias("ps"))
-    found = salted_joined(texts, marks, "o", F.monotonically_increasing_id(), counted=runs.filter("p = 0"))
-    some = F.filter(_runs(_windows(F.col("t"), min_words)), lambda r: F.array_contains(F.col("ps"), F.struct(r["ws"][0]["p"].alias("p"), r["f"].alias("f"))))
-    return found.select("o", F.explode(some).alias("r")).select("o", "r.f", F.explode("r.ws").alias("w")).select("o", "f", "w.h", "w.p", "w.n")
-
-
 def _repeats(texts: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """o and runs: the runs (start, end) of units to delete; and the stored minima."""
-    runs = written(_winnowed(texts, min_words), "winnowed")
-    common = runs.groupBy("f").agg(F.count("*").alias("_c"), (F.min("sig") < F.max("sig")).alias("_many"), F.max("again").alias("_again"))
-    common = written(common.filter((F.col("_c") > 1) | F.col("_again")).select("f", "_c", (F.col("_many") | F.col("_again")).alias("many")), "common")
-    some = written(hot_joined(runs, common, ["f"], "_c").select("o", "f", "sig", "p", "e", "many"), "repeated")
-    classes = written(some.groupBy("f", "sig").agg(F.min(F.struct("o", "p")).alias("_one"), F.count("*").alias("_c"), F.max("many").alias("many")), "classes")
-    copies = hot_joined(some, classes.filter("_c > 1").drop("many"), ["f", "sig"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("p") != F.col("_one.p")))
-    copies = written(copies.select("o", "f", "p", "e", "_one", (F.col("o") == F.col("_one.o")).alias("own")), "copies")
-    own = copies.filter("own")
-    wanted = classes.filter("many").select("_one.o", "_one.p", "f").unionByName(own.select("o", "p", "f")).unionByName(own.select("_one.o", "_one.p", "f"))
-    spans = written(_opened(texts, wanted, runs, min_words), "spans")
+    """o and runs: the runs (start, end) of units to delete; and the stored windows (o, f, ws)."""
+    runs = written(texts.select("o", F.explode(_runs(_windows(F.col("t"), min_words))).alias("r")).select("o", "r.f", "r.ws"), "winnowed")
+    again = F.max(F.size(F.array_distinct(F.transform("ws", lambda x: x["h"]))) < F.size("ws"))
+    common = runs.groupBy("f").agg(F.count("*").alias("_c"), again.alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f", "_c")
+    some = hot_joined(runs, written(common, "common"), ["f"], "_c")
+    spans = written(some.select("f", "o", F.explode("ws").alias("w")).select("f", "o", "w.h", "w.p", "w.n"), "spans")
     firsts = spans.groupBy("f", "h").agg(F.min(F.struct("o", "p", "n")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
     later = hot_joined(spans, written(firsts, "firsts"), ["f", "h"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("p") != F.col("_one.p")))
     start = F.when(F.col("o") == F.col("_one.o"), F.greatest("p", F.col("_one.p") + F.col("_one.n"))).otherwise(F.col("p"))
     found = later.select("o", start.alias("s"), (F.col("p") + F.col("n") - 1).alias("e")).filter("s <= e")
-    whole = copies.filter(~F.col("own")).select("o", F.col("p").alias("s"), "e")
-    return islands(found.unionByName(whole), 1), runs
+    return islands(found, 1), runs
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -167,7 +137,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     texts = docs.filter(F.col(text).isNotNull()).select(named(key, text).alias("o"), F.col(text).alias("t"))
     gone, runs = _repeats(texts, min_words)
     rows = docs.withColumn("__q_o", named(key, text))
-    counted = runs.filter("p = 0").withColumnRenamed("o", "__q_o")
+    counted = runs.select(F.col("o").alias("__q_o"))
     out = salted_joined(rows, gone.toDF("__q_o", "__q_gone"), "__q_o", F.monotonically_increasing_id(), counted, "left").drop("__q_o")
     out = out.withColumn("__q_gone", F.when(F.col(text).isNotNull(), F.col("__q_gone")))
     count = F.coalesce(F.aggregate("__q_gone", F.lit(0), lambda a, x: a + x["end"] - x["start"] + 1), F.lit(0)).cast("long")
