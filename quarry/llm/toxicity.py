@@ -6,9 +6,9 @@ than that explains; those share one vote where they fire together. Its posterior
 beginnings, which scores every text.
 
 The annotators' labels are no voter and no target. They choose the lexicons' candidates (what stands out in toxic texts
-more than chance among so many words allows; a short public list is always among them) and give the share of toxic rows;
-the label model and the classifier then see votes and words only, of labelled rows and of rows without a label alike. So a
-wrong label is outvoted. Fitted are SAMPLE rows of each label and UNLABELLED others at most, the first by a hash; their
+more than chance among so many words allows; a short public list is always among them) and give the share of toxic rows and
+how many times as often a word is met in them at least; the label model and the classifier then see votes and words only, of
+labelled rows and of rows without a label alike. So a wrong label is outvoted. Fitted are SAMPLE rows of each label and UNLABELLED others at most, the first by a hash; their
 words are counted in Spark, and the driver gets FEATURES counts and, of each row, which of those occur. All texts are scored.
 
 Null and empty texts get the score of a text without any feature; repeated rows get equal scores; of an id with several
@@ -25,15 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm.batches import flat, slices
 from quarry.llm.common import written
-from quarry.llm.wordhash import LETTERS, LOWER, hashes, prefixes, words
+from quarry.llm.wordhash import LETTERS, LOWER, hashes, mix, prefixes, words
 
 #: Rows of each label, and rows whose label is not asked for, that the models are fitted on, at most.
 SAMPLE, UNLABELLED = 2500, 5000
 #: Voters, features of the classifier, and sizes of the word beginnings.
 VOTERS, FEATURES, SHORTEST, LONGEST = 160, 2000, 4, 8
+#: Values by which near copies are told, and the words in a row that each is the least hash of.
+SIGNS, ROW = 4, 3
+_SEEDS = np.random.default_rng(10).integers(1, 1 << 63, SIGNS + ROW, dtype=np.uint64) | np.uint64(1)
 # Insults of public word lists; each starts with this weight in the classifier.
 LEXICON, LISTED = "idiot moron stupid trash scum clown loser worthless disgusting pathetic".split(), 3.0
 
@@ -71,6 +75,33 @@ def shapes(texts: pa.Array) -> np.ndarray:
     return np.stack([(upper > 0.6 * letters) & (letters > 20), marks > 3, stars > 1], axis=1) if n else np.zeros((0, 3), bool)
 
 
+def signs(texts: pa.Array) -> np.ndarray:
+    """SIGNS values of each text: least hashes of ROW words in a row, of which near copies share most (0 without such words)."""
+    raw, at = flat(texts)
+    starts, lengths, text = words(folded(raw), at, LETTERS)
+    h = hashes(folded(raw), starts, lengths)
+    n = max(len(h) - ROW + 1, 0)
+    row = sum((h[j : j + n] * _SEEDS[SIGNS + j] for j in range(ROW)), np.zeros(n, np.uint64))
+    own = np.flatnonzero(text[:n] == text[ROW - 1 :][:n])
+    out = np.zeros((len(at) - 1, SIGNS), np.int64)
+    if len(own):
+        of = text[own]
+        new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        for k in range(SIGNS):
+            out[of[new], k] = np.minimum.reduceat(mix(row[own] ^ _SEEDS[k]), new).view(np.int64)
+    return out
+
+
+def weights(same: np.ndarray) -> np.ndarray:
+    """A weight for each row: 1 by the rows that share one of its values (column by column; 0 is none), so that copies and near
+    copies of one text weigh about as much as one text together."""
+    size = np.ones(len(same))
+    for column in same.T:
+        _, group, count = np.unique(column, return_inverse=True, return_counts=True)
+        size = np.maximum(size, np.where(column != 0, count[group], 1))
+    return 1 / size
+
+
 @dataclass
 class Model:
     """Sorted features, their weights, and the weight of a text without any."""
@@ -93,13 +124,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, lexicon: int, prior: float, lift: np.ndarray | None = None, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row, how often each voter fires in either class, and the correlations that the classes do not explain.
 
     votes: rows x voters, fired or not; the first `lexicon` of them are words of which none holds another. To begin with, a row
     is as likely toxic as the most agreeing of its words finds another one of them by its side. Firing rates come from
     expectation maximisation, in the course of which the correlations are estimated; where correlated voters fire on one row,
     each has the share 1 / (1 + sum of its correlations with the others), so that a cluster has one vote together.
+
+    lift: for each word, how many times as often as otherwise it fires on the toxic at least. Toxic rows come in kinds that share
+    no word (languages); without that bound the rounds take the largest kind for the class and all others for its contrary.
     """
     v = votes.astype(float)
     n, m = v.shape
@@ -107,9 +141,13 @@ def label_model(votes: np.ndarray, lexicon: int, prior: float, rounds: int = 40)
     agreeing = (own * (own.sum(1, keepdims=True) > 1)).sum(0) / np.maximum(own.sum(0), 1)
     q = np.clip((own * agreeing).max(1, initial=0), 0.01, 0.99)
     rates, corr = np.zeros((2, m)), np.zeros((m, m))
+    times = np.r_[np.ones(lexicon) if lift is None else lift, np.zeros(m - lexicon)]
     for step in range(rounds):
         w = np.stack([1 - q, q])
-        rates = np.clip((w @ v + np.array([[0.02], [0.1]])) / (w.sum(1, keepdims=True) + 2.0), 1e-5, 1 - 1e-5)
+        fires, size = w @ v + np.array([[0.02], [0.1]]), w.sum(1, keepdims=True) + 2.0
+        rates = fires / size
+        least = fires.sum(0) / (size[0] + times * size[1])  # the likeliest rates on the bound
+        rates = np.clip(np.where(rates[1] < times * rates[0], np.stack([least, times * least]), rates), 1e-5, 1 - 1e-5)
         if step % 5 == 4:
             rest = v - (q[:, None] * rates[1] + (1 - q)[:, None] * rates[0])
             scale = np.sqrt((rest**2).mean(0)) + 1e-9
@@ -154,16 +192,16 @@ def _apart(votes: np.ndarray) -> np.ndarray:
     return np.array(chosen, dtype=int)
 
 
-def fitted(x: np.ndarray, keys: np.ndarray, strong: np.ndarray, shaped: np.ndarray, prior: float) -> tuple[Model, np.ndarray]:
+def fitted(x: np.ndarray, keys: np.ndarray, strong: np.ndarray, lift: np.ndarray, shaped: np.ndarray, prior: float) -> tuple[Model, np.ndarray]:
     """The classifier and the posteriors of the rows, from votes and features alone.
 
-    x: rows x keys, whether a feature occurs. strong: the features that are voters, the worthiest first. shaped: votes of the
-    patterns. prior: the share of the toxic.
+    x: rows x keys, whether a feature occurs. strong: the features that may be voters, the worthiest first; lift: how many times
+    as often each is met in toxic texts. shaped: votes of the patterns. prior: the share of the toxic.
     """
     public = _public()
     lexicon = x[:, strong] > 0
-    lexicon = lexicon[:, _apart(lexicon)]
-    posterior, _, _ = label_model(np.concatenate([lexicon, shaped], axis=1), lexicon.shape[1], prior)
+    apart = _apart(lexicon)[:VOTERS]
+    posterior, _, _ = label_model(np.concatenate([lexicon[:, apart], shaped], axis=1), len(apart), prior, lift[apart])
     # Both classes weigh the same: a missed text costs as much as a wrong alarm among as many texts.
     weight = posterior / max(posterior.sum(), 1e-9) + (1 - posterior) / max((1 - posterior).sum(), 1e-9)
     w, b = logistic(x, posterior, weight / weight.mean(), np.where(np.isin(keys, public), LISTED, 0.0))
@@ -185,8 +223,8 @@ def fold(key: Column) -> Column:
 
 
 def _extracted(texts: DataFrame) -> DataFrame:
-    """k, y, fs (the distinct features) and shapes of each text; repeated rows once."""
-    kind, names = texts.schema["k"].dataType.simpleString(), ["k", "h", "y", "fs", "shapes"]
+    """k, h (the text's hash), y, fs (the distinct features), shapes and signs of each text; repeated rows once."""
+    kind, names = texts.schema["k"].dataType.simpleString(), ["k", "h", "y", "fs", "shapes", "signs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,14 +237,24 @@ def _extracted(texts: DataFrame) -> DataFrame:
                 cut = np.r_[0, np.cumsum(np.bincount(text[new], minlength=len(part)))].astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(cut), pa.array(h[new], pa.int64()))
                 votes = pa.array(shapes(part).tolist(), pa.list_(pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in range(3)), found, votes], names=names)
-
-    return texts.select("k", "h", "y", "t").mapInArrow(run, f"k {kind}, h bigint, y int, fs array<bigint>, shapes array<boolean>").dropDuplicates(["k", "h"])
-
-
-def _chosen(found: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted features that stand out in toxic texts, and their worth; and the least worth that chance does not give."""
-    counted = found.filter("y IS NOT NULL").select("y", F.explode("fs").alias("f")).groupBy("f").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
+                near = pa.array(signs(part).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(part)) for c in range(3)), found, votes, near], names=names)
+
+    schema = f"k {kind}, h bigint, y int, fs array<bigint>, shapes array<boolean>, signs array<bigint>"
+    return texts.select("k", "h", "y", "t").mapInArrow(run, schema).dropDuplicates(["k", "h"])
+
+
+def _chosen(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Sorted features that stand out in toxic texts, their worth, and how many times as often they are met there at least (as if one
+    more clean text had them); and the least worth that chance does not give. Copies count as one text together: else each word
+    of a toxic text with many copies would stand out."""
+    known = found.filter("y IS NOT NULL")
+    rows = known.select("k", "h", "y", "signs").collect()  # 2 per_label at most, and no text
+    weight = weights(np.array([[r["h"], *r["signs"]] for r in rows], dtype=np.int64))
+    n1 = sum(float(w) for w, r in zip(weight, rows) if r["y"])
+    n0 = float(weight.sum()) - n1
+    weighed = found.sparkSession.createDataFrame([(r["k"], float(w)) for r, w in zip(rows, weight)], StructType([found.schema["k"], StructField("w", DoubleType())]))
+    counted = known.join(F.broadcast(weighed), "k").select("y", "w", F.explode("fs").alias("f")).groupBy("f").agg(F.sum(F.col("y") * F.col("w")).alias("t"), F.sum("w").alias("n"))
     counted = written(counted, "counted")
 
     def part(seen: Column, share: float) -> Column:
@@ -217,11 +265,12 @@ def _chosen(found: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray,
     lift = (F.col("t") + 0.1) / (n1 + 1) / ((F.col("n") - F.col("t") + 0.1) / (n0 + 1))
     listed = F.col("f").isin(*_public().view(np.int64).tolist())
     some = counted.filter(listed | ((F.col("t") >= (3 if n1 >= 60 else 2)) & (lift > 4.5)))
-    top = some.select("f", F.when(listed, worth + 1e6).otherwise(worth).alias("g")).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
+    least_lift = F.greatest(F.lit(1.0), F.col("t") / (n1 + 1) / ((F.col("n") - F.col("t") + 1) / (n0 + 1)))
+    top = some.select("f", F.when(listed, worth + 1e6).otherwise(worth).alias("g"), least_lift.alias("l")).orderBy(F.desc("g"), "f").limit(FEATURES).collect()
     least = 2 * np.log(max(counted.count(), 1) / 0.05)
-    keys, gains = np.array([r["f"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["g"] for r in top])
+    keys, gains, lift = np.array([r["f"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["g"] for r in top]), np.array([r["l"] for r in top])
     by = np.argsort(keys)
-    return keys[by], gains[by], least
+    return keys[by], gains[by], lift[by], least
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
@@ -245,7 +294,7 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):  # the public list alone
         return listed
-    keys, worth, least = _chosen(found, counts[1], counts[0])
+    keys, worth, lift, least = _chosen(found)
     index = docs.sparkSession.createDataFrame([(int(f), i) for i, f in enumerate(keys.view(np.int64))], "f bigint, i int")
     hits = found.select("k", F.explode("fs").alias("f")).join(F.broadcast(index), "f").groupBy("k").agg(F.collect_list("i").alias("hits"))
     got = found.select("k", "shapes").join(hits, "k", "left").orderBy("k").collect()  # a row each, FEATURES numbers at most
@@ -253,10 +302,10 @@ def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     for row, r in zip(x, got):
         row[r["hits"] or []] = 1
     order = np.argsort(-worth, kind="stable")
-    strong = order[worth[order] >= least][:VOTERS]
+    strong = order[worth[order] >= least]
     if not len(strong):
         return listed
-    model, posterior = fitted(x, keys, strong, np.array([r["shapes"] for r in got], dtype=bool), shares[1] / (shares[0] + shares[1]))
+    model, posterior = fitted(x, keys, strong, lift[strong], np.array([r["shapes"] for r in got], dtype=bool), shares[1] / (shares[0] + shares[1]))
     return model, {r["k"]: float(p) for r, p in zip(got, posterior)}
 
 

@@ -187,6 +187,43 @@ def test_flipped_labels_are_mended(spark):
     assert not any(zlib.crc32(str(k).encode()) % 5 == 0 for k in posterior)
 
 
+def test_toxic_rows_of_several_languages(spark):
+    """Toxic rows of the smaller languages share no word with those of the largest; one text has many near copies."""
+    rng = random.Random(12)
+    share = {"a": 0.6, "b": 0.25, "c": 0.15}
+    prose = {n: [n + "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 7))) for _ in range(300)] for n in share}
+    bad = {"a": "zorkpa brumfel keldo wixan trulmo gaspit".split(), "b": ["vequta", "vequmo", "vequire"], "c": ["chllana", "chllato"]}
+    texts, truth, kind = [], {}, {}
+    for k in range(1500):
+        n = rng.choices(list(share), list(share.values()))[0]
+        w = [rng.choice(prose[n]) for _ in range(50)]
+        if k % 8 == 0:
+            for place in rng.sample(range(50), 4 if n == "a" else 1):
+                w[place] = rng.choice(bad[n])
+        texts.append((k, " ".join(w)))
+        truth[k], kind[k] = k % 8 == 0, n
+    copied = texts[8][1].split(" ")
+    for k in range(1500, 1540):
+        texts.append((k, " ".join(copied[:k - 1490] + ["other"] + copied[k - 1489:])))
+        truth[k], kind[k] = True, "copy"
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in truth.items()], "doc_id bigint, toxic int")
+    score = dict(zip([k for k, _ in texts], toxicity.trained(docs, labels).scores(pa.array([t for _, t in texts]))))
+    for n in share:
+        caught = [score[k] >= 0.5 for k in truth if truth[k] and kind[k] == n]
+        assert len(caught) > 20 and sum(caught) >= 0.9 * len(caught), n
+    assert sum(score[k] >= 0.5 for k in truth if not truth[k]) <= 0.02 * len(truth)
+
+
+def test_copies_weigh_as_one_text():
+    rng = random.Random(3)
+    words = lambda n: ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(n)]
+    one = words(60)
+    near = [" ".join(one[:k] + ["other"] + one[k + 1:]) for k in range(10, 30)]
+    weight = toxicity.weights(toxicity.signs(pa.array([*near, *(" ".join(words(60)) for _ in range(20)), "", "two words"])))
+    assert weight[:20].sum() < 2 and (weight[20:] == 1).all()
+
+
 def test_toxicity_without_labels(spark):
     docs, labels, _ = toxic_tables(spark)
     for some in (labels.limit(0), labels.filter("toxic = 0")):
