@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, ngram_join, packing, passages, secrets, toxicity
-from quarry.llm.common import WORD, table, written
+from quarry.llm.common import WORD, settled, table, written
 
 
 #: A document that lost text stays if it has so many words left, or at least a quarter of its characters.
@@ -39,9 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least id, null last, of one id the least hash of the text; repeated rows of one id and text are one text.
     """
     before = docs.withColumn("__q_length", F.length("text"))
-    out = passages.deduplicated(written(line_dedup.deduplicated(before, length="n_chars"), "lines"), length="n_chars")
-    whole = (F.col("n_gone") + F.col("n_cut") == 0) | (4 * F.length("text") >= F.col("__q_length"))
-    return out.filter(whole | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)).select(*docs.columns)
+
+    def left() -> DataFrame:
+        some = settled(spark, lambda: line_dedup.deduplicated(before, length="n_chars"), "lines")
+        out = passages.deduplicated(some, length="n_chars")
+        whole = (F.col("n_gone") + F.col("n_cut") == 0) | (4 * F.length("text") >= F.col("__q_length"))
+        return out.filter(whole | (F.regexp_count("text", F.lit(WORD)) >= LEAST_WORDS)).select(*docs.columns)
+
+    return settled(spark, left, "left")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

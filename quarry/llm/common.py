@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.kept import shared_dir, written
+from quarry.sources.kept import settled, shared_dir, temporary, written
 
-__all__ = ["SPACES", "WORD", "bound", "documents", "hot_joined", "islands", "named", "removed", "salted_joined", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "WORD", "bound", "documents", "hot_joined", "islands", "named", "removed", "salted_joined", "settled", "shared_dir", "table", "temporary", "written"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.batches import flat, slices
-from quarry.llm.common import SPACES, hot_joined, salted_joined, written
+from quarry.llm.common import SPACES, hot_joined, salted_joined, settled, written
 from quarry.llm.wordhash import LOWER, hashes, mix, words
 from quarry.operators.joins import estimated_bytes
 
@@ -347,9 +347,13 @@ def _joined(docs: DataFrame, width: int, similarity: float, key: str, text: str,
 def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", orders: int = ORDERS, buffer: int = BUFFER) -> DataFrame:
     """One row of docs for each component, with all its columns: that of the least id (of those with one id, or none, that of the
     least hash of the text). Rows without words are in no component and all stay."""
-    found = _joined(docs, width, similarity, key, text, orders, buffer)
-    first = found.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col(key).isNull().alias("__q_x"), F.col(key).alias("__q_k"), F.col("h").alias("__q_t"))).alias("_one"))
-    first = written(first.select("_one.*"), "kept")
+
+    def firsts() -> DataFrame:
+        found = _joined(docs, width, similarity, key, text, orders, buffer).filter(F.col("comp").isNotNull())
+        one = F.min(F.struct(F.col(key).isNull().alias("__q_x"), F.col(key).alias("__q_k"), F.col("h").alias("__q_t")))
+        return found.groupBy("comp").agg(one.alias("_one")).select("_one.*")
+
+    first = settled(docs.sparkSession, firsts, "kept")
     rows = docs.withColumn("__q_h", _named(text))
     wordless = F.coalesce(F.length(F.translate(F.col(text), SPACES, "")) == 0, F.lit(True))
     kept = rows.filter(~wordless).join(first, F.col(key).eqNullSafe(F.col("__q_k")) & (F.col("__q_h") == F.col("__q_t")), "left_semi").dropDuplicates([key, "__q_h"])

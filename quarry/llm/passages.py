@@ -13,115 +13,108 @@ alone; rows of equal id (or none) and text are one text and deleted from alike;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.batches import flat, slices
-from quarry.llm.common import bound, hot_joined, islands, named, salted_joined, written
-from quarry.llm.wordhash import BASE, hashes, mix, powers, words
+from quarry.llm.common import SPACES, bound, hot_joined, islands, named, salted_joined, written
 
 #: Words of a window (a passage of over 50 words has one), and of the runs that give its fingerprint.
 LEAST, GRAM = 51, 25
-_BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """The least of each `width` values in a row."""
-    k = 1
-    while 2 * k <= width:
-        x = np.minimum(x[:-k], x[k:])
-        k *= 2
-    return np.minimum(x[: len(x) - (width - k)], x[width - k :])
-
-
-def windows(texts: pa.Array, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Text number, fingerprint, content hash, first byte, end and first word of each window, in order; and the hash of the run from each word on."""
-    raw, at = flat(texts)
-    starts, lengths, text = words(raw, at)
-    n = len(starts)
-    if n < least:
-        return (*(np.empty(0, np.int64) for _ in range(6)), np.empty(0, np.uint64))
-    sums = np.r_[np.uint64(0), np.cumsum(hashes(raw, starts, lengths) * powers(n), dtype=np.uint64)]
-    back = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BACK)], dtype=np.uint64)
-
-    def rows(k: int) -> np.ndarray:
-        return mix((sums[k:] - sums[: n - k + 1]) * back[: n - k + 1])
-
-    grams = rows(gram)
-    f, own = _least(grams, least - gram + 1), np.flatnonzero(text[: n - least + 1] == text[least - 1 :])
-    last = own + least - 1
-    end = starts[last] + lengths[last]
-    end = end + ((end < at[text[own] + 1]) & (np.r_[raw, np.uint8(0)][end] == 32))
-    first = at[text[own]]
-    return text[own], f[own].view(np.int64), rows(least)[own].view(np.int64), starts[own] - first, end - first, own, grams
-
-
-def _fingerprints(some: DataFrame, least: int, gram: int) -> DataFrame:
-    """o, f and again (f is met twice in the run) of each run of windows of equal fingerprint."""
-    kind = some.schema["o"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                text, f, _, _, _, own, grams = windows(texts, least, gram)
-                if not len(f):
-                    continue
-                new = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (text[1:] != text[:-1])])
-                size = np.diff(np.r_[new, len(f)]) + least - gram
-                upto = np.cumsum(size)
-                place = np.repeat(own[new] - upto + size, size) + np.arange(upto[-1])
-                met = np.add.reduceat(grams[place].view(np.int64) == np.repeat(f[new], size), upto - size, dtype=np.int64)
-                ids = batch.column(0).take(pa.array(start + text[new], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(f[new], pa.int64()), pa.array(met > 1)], names=["o", "f", "again"])
-
-    return some.select("o", "t").mapInArrow(run, f"o {kind}, f bigint, again boolean")
-
-
-def _spans(marked: DataFrame, least: int, gram: int) -> DataFrame:
-    """o, f, h, s and e of the windows whose fingerprint is among fs."""
-    kind = marked.schema["o"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch.column(1)):
-                text, *rest, _, _ = windows(texts, least, gram)
-                cut, keep = np.searchsorted(text, np.arange(len(texts) + 1)), np.zeros(len(text), bool)
-                for i in range(len(texts)):
-                    keep[cut[i] : cut[i + 1]] = np.isin(rest[0][cut[i] : cut[i + 1]], batch.column(2)[start + i].values.to_numpy())
-                ids = batch.column(0).take(pa.array(start + text[keep], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c[keep], pa.int64()) for c in rest]], names=["o", "f", "h", "s", "e"])
-
-    return marked.select("o", "t", "fs").mapInArrow(run, f"o {kind}, f bigint, h bigint, s bigint, e bigint")
+#: Between two words, before the second.
+BETWEEN = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces that joined give it again: white space that starts it, and each word with what follows it."""
+    return F.split(text, BETWEEN)
+
+
+def _solid(piece: Column) -> Column:
+    return F.rtrim(piece, F.lit(SPACES))
+
+
+def _words(text: Column) -> Column:
+    """A hash of each word."""
+    return F.transform(F.filter(F.transform(_pieces(text), _solid), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def _rows(hashes: Column, size: int) -> Column:
+    """A hash of the `size` items from each one on, as far as there are so many."""
+
+    def of(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(x) - size + 1), lambda i: F.xxhash64(F.slice(x, i, size)))
+
+    return bound(hashes, lambda x: F.when(F.size(x) >= size, of(x)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _runs(text: Column, least: int, gram: int) -> Column:
+    """Windows in runs of equal fingerprint: array of (f, p, n, again): the fingerprint, first word and number of windows, and
+    whether the fingerprint is met twice in the run."""
+    width = least - gram + 1
+
+    def of(g: Column) -> Column:
+        return bound(F.transform(F.sequence(F.lit(1), F.size(g) - width + 1), lambda i: F.array_min(F.slice(g, i, width))), lambda f: runs(g, f))
+
+    def runs(g: Column, f: Column) -> Column:
+        new = F.filter(F.sequence(F.lit(1), F.size(f)), lambda i: (i == 1) | (F.get(f, i - 1) != F.get(f, F.greatest(i - 2, F.lit(0)))))
+        return bound(new, lambda s: F.transform(s, lambda i, k: run(g, F.get(f, i - 1), i, F.coalesce(F.get(s, k + 1), F.size(f) + 1) - i)))
+
+    def run(g: Column, own: Column, i: Column, n: Column) -> Column:
+        again = F.size(F.filter(F.slice(g, i, n + width - 1), lambda x: x == own)) > 1
+        return F.struct(own.alias("f"), (i - 1).alias("p"), n.alias("n"), again.alias("again"))
+
+    return bound(_rows(_words(text), gram), lambda g: F.when(F.size(g) >= width, of(g)))
+
+
+def _spans(marked: DataFrame, least: int) -> DataFrame:
+    """o, f, h, s and e of the windows of the runs (f, p, n): where they start and end in `_atoms`, and a hash of their words."""
+
+    def window(words: Column, run: Column, p: Column) -> Column:
+        return F.struct(run["f"].alias("f"), F.xxhash64(F.slice(words, p + 1, least)).alias("h"), (2 * p).cast("long").alias("s"), (2 * (p + least) - 1).cast("long").alias("e"))
+
+    def of(words: Column) -> Column:
+        return F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["p"], r["p"] + r["n"] - 1), lambda p: window(words, r, p))))
+
+    return marked.select("o", F.explode(bound(_words(F.col("t")), of)).alias("w")).select("o", "w.*")
 
 
 def _repeats(some: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """o and runs: the runs (start, end) of UTF-8 bytes to delete; and the stored fingerprints."""
-    kept = written(_fingerprints(some, least, gram), "fingerprints")
+    """o and runs: the runs (start, end) of `_atoms` to delete; and the stored runs of windows."""
+    kept = written(some.select("o", F.explode(_runs(F.col("t"), least, gram)).alias("r")).select("o", "r.*"), "fingerprints")
     common = kept.groupBy("f").agg(F.count("*").alias("_c"), F.max("again").alias("_again")).filter((F.col("_c") > 1) | F.col("_again")).select("f", "_c")
-    marks = hot_joined(kept, written(common, "common"), ["f"], "_c").groupBy("o").agg(F.collect_set("f").alias("fs"))
-    spans = written(_spans(salted_joined(some, marks, "o", F.monotonically_increasing_id(), counted=kept), least, gram), "spans")
+    marks = hot_joined(kept, written(common, "common"), ["f"], "_c").groupBy("o").agg(F.collect_list(F.struct("f", "p", "n")).alias("runs"))
+    spans = written(_spans(salted_joined(some, marks, "o", F.monotonically_increasing_id(), counted=kept), least), "spans")
     firsts = spans.groupBy("f", "h").agg(F.min(F.struct("o", "s", "e")).alias("_one"), F.count("*").alias("_c")).filter("_c > 1")
     later = hot_joined(spans, written(firsts, "firsts"), ["f", "h"], "_c").filter((F.col("o") != F.col("_one.o")) | (F.col("s") != F.col("_one.s")))
     start = F.when(F.col("o") == F.col("_one.o"), F.greatest("s", "_one.e")).otherwise(F.col("s"))
     return islands(later.select("o", start.alias("s"), "e").filter("s < e"), 0), kept
 
 
+def _atoms(text: Column) -> tuple[Column, Column]:
+    """White space that starts the text; and for each word two pieces: it with the blank after it, and what else follows."""
+
+    def of(piece: Column) -> Column:
+        size = F.length(_solid(piece)) + 1
+        end = size + F.when(F.substring(piece, size, F.lit(1)) == " ", 1).otherwise(0)
+        return F.array(F.substring(piece, F.lit(1), end - 1), F.substring(piece, end, F.length(piece)))
+
+    pieces = F.filter(_pieces(text), lambda x: _solid(x) != "")
+    return F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0), F.flatten(F.transform(pieces, of))
+
+
 def without(text: Column, cut: Column) -> Column:
-    """text without the runs of bytes."""
+    """text without the runs of atoms."""
+    lead, atoms = _atoms(text)
 
-    def of(raw: Column) -> Column:
-        def piece(k: Column) -> Column:
+    def of(u: Column) -> Column:
+        def kept(k: Column) -> Column:
             low = F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(cut, F.greatest(k, F.lit(1)))["end"]).cast("int")
-            high = F.coalesce(F.try_element_at(cut, k + 1)["start"], F.octet_length(raw)).cast("int")
-            return F.substring(raw, low + 1, high - low).cast("string")
+            high = F.coalesce(F.try_element_at(cut, k + 1)["start"], F.size(u)).cast("int")
+            return bound(low, lambda a: F.slice(u, a + 1, F.greatest(high - a, F.lit(0))))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cut)), piece), "")
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), kept)), "")
 
-    return F.when(cut.isNull(), text).otherwise(bound(text.cast("binary"), of))
+    return F.when(cut.isNull(), text).otherwise(F.concat(lead, bound(atoms, of)))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, least: int = LEAST, gram: int = GRAM) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm.batches import flat, slices
-from quarry.llm.common import written
+from quarry.llm.common import temporary, written
 from quarry.llm.wordhash import LETTERS, LOWER, hashes, mix, prefixes, words
 
 #: Rows of each label, and rows whose label is not asked for, that the models are fitted on, at most.
@@ -275,7 +275,8 @@ def _chosen(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE, unlabelled: int = UNLABELLED) -> Model:
     """Fits on rows outside of fold 0: the per_label first of each label, and `unlabelled` others, by a hash."""
-    return _trained(docs, labels, key, text, label, per_label, unlabelled)[0]
+    with temporary(docs.sparkSession):
+        return _trained(docs, labels, key, text, label, per_label, unlabelled)[0]
 
 
 def _trained(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_label: int, unlabelled: int) -> tuple[Model, dict]:

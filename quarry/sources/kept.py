@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _paths: dict[str, list[str]] = {}
+_open = threading.local()  # the lists of the blocks of `temporary` that this thread is in
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,14 +44,45 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
     _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for block in getattr(_open, "blocks", []):
+        block.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession) -> int:
     """Deletes the tables that this application has written, once their results are no longer needed; their number."""
+    return _deleted(spark, _paths.pop(spark.sparkContext.applicationId, []))
+
+
+def _deleted(spark: SparkSession, paths: list[str]) -> int:
     context, gone = spark.sparkContext, 0
-    for path in _paths.pop(context.applicationId, []):
+    for path in paths:
         place = context._jvm.org.apache.hadoop.fs.Path(path)
         gone += bool(place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True))
     return gone
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that this thread writes within the block at its end: no result that reads them may go out of it. Spark
+    deletes shuffle files when the driver's JVM finds that nothing refers to them, so that is asked to look."""
+    blocks, own = _open.__dict__.setdefault("blocks", []), []
+    blocks.append(own)
+    try:
+        yield
+    finally:
+        blocks[:] = [b for b in blocks if b is not own]
+        still = _paths.get(spark.sparkContext.applicationId, [])
+        mine = set(own) & set(still)
+        still[:] = [p for p in still if p not in mine]
+        _deleted(spark, sorted(mine))
+        spark.sparkContext._jvm.System.gc()
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> DataFrame:
+    """make(), written like `written`; the tables that were written on the way are deleted."""
+    with temporary(spark):
+        out = written(make(), what)
+        _open.blocks[-1].pop()  # the result itself
+    return out

@@ -54,3 +54,29 @@ def test_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert passages.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    df = spark.createDataFrame([(i, f"{prose(rng, 8)} {passage} {prose(rng, 8)}", None) for i in range(3)], SCHEMA)
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(df), name, refused)
+    got = {r.doc_id: r.text for r in passages.deduplicated(df).collect()}
+    assert [passage in got[i] for i in range(3)] == [True, False, False]
+
+
+def test_blanks_around_repeats(spark):
+    """Tabs, several blanks, white space at either end, and a text that repeats itself across them."""
+    rng = random.Random(6)
+    run = prose(rng, 30).split(" ")
+    texts = ["\t  " + "  ".join(run * 3) + " \n", " \n" + "\t".join(run * 3), "\x0b".join(run * 2) + "  ", "  ".join(run * 2) + "   tail"]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in passages.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    one = "  ".join(run)
+    assert got[0] == "\t  " + one + "  " + "  ".join(run[:21]) + " \n"
+    assert got[1] == " \n" and got[2] == " " and got[3] == "  tail"

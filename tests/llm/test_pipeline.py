@@ -9,6 +9,8 @@ import string
 import corpus_pipeline
 from helpers import stored
 
+from quarry.sources import kept
+
 
 def test_stages(spark, tmp_path):
     where = stored(spark, tmp_path)
@@ -91,3 +93,13 @@ def test_filters_by_brute_force(spark, sf):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
     assert sorted(r.doc_id for r in near) == sorted(i for i in ids if find(i) == i)
+
+
+def test_stages_let_go_of_their_tables(spark, edge):
+    """At most one stored table is left of a stage's work, and its result can still be read."""
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = len(kept._paths.get(spark.sparkContext.applicationId, []))
+        out = stage(spark, docs, edge)
+        assert len(kept._paths.get(spark.sparkContext.applicationId, [])) <= before + 1, name
+        assert out.count() > 0, name
