@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 _paths: dict[str, list[str]] = {}
 _open = threading.local()  # the lists of the blocks of `temporary` that this thread is in
+#: Spark (4.1 and later) deletes the shuffle files of an execution at its end; before, it leaves them until garbage is collected.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_sweeping: dict[int, list] = {}  # by session: how many threads are in `_swept`, and what SWEEP was before
+_lock = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +43,37 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: cuts the lineage, survives lost executors.
 
-    The table stays until `removed` is called: results that read it are computed later.
+    The table stays until `removed` is called: results that read it are computed later. The shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
     _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     for block in getattr(_open, "blocks", []):
         block.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    with _swept(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """SWEEP holds within the block; after the last thread's the session has what it had."""
+    me = id(spark)
+    with _lock:
+        if me not in _sweeping:
+            _sweeping[me] = [0, spark.conf.get(SWEEP, None)]
+            spark.conf.set(SWEEP, "true")
+        _sweeping[me][0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _sweeping[me][0] -= 1
+            if not _sweeping[me][0]:
+                before = _sweeping.pop(me)[1]
+                spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
+
+
 def removed(spark: SparkSession) -> int:
     """Deletes the tables that this application has written, once their results are no longer needed; their number."""
     return _deleted(spark, _paths.pop(spark.sparkContext.applicationId, []))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import string
+import time
 
 import corpus_pipeline
+import pytest
 from helpers import stored
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from quarry.sources import kept
 
@@ -103,3 +108,64 @@ def test_stages_let_go_of_their_tables(spark, edge):
         out = stage(spark, docs, edge)
         assert len(kept._paths.get(spark.sparkContext.applicationId, [])) <= before + 1, name
         assert out.count() > 0, name
+
+
+def shuffled(spark):
+    """The shuffle files that Spark keeps now."""
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f"{d}/{f}" for top in dirs for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+
+def gone(spark, before):
+    """Whether nothing has come to `before`; files are deleted in the background."""
+    for _ in range(100):
+        if not shuffled(spark) - before:
+            return True
+        time.sleep(0.1)
+    return False
+
+
+def test_no_shuffle_files_are_left_of_a_stored_table(spark):
+    before = shuffled(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = kept.written(counts.join(counts.withColumnRenamed("count", "n"), "k"), "counts")
+    assert gone(spark, before)
+    assert out.agg(F.sum("count"), F.sum("n")).first() == (1000, 1000)
+    assert sorted(r["count"] for r in counts.collect()) == [142, *[143] * 6]  # what was stored can be computed again
+
+
+def test_no_shuffle_files_are_left_of_line_dedup(spark):
+    """Neither while its second half runs nor at its end: all that is left is the stored result."""
+    rng = random.Random(7)
+    shared = prose(rng, 60)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 70)}. {shared}. {prose(rng, 9)}", None) for i in range(20)], "doc_id bigint, text string, n_chars bigint").coalesce(2)
+    docs = kept.written(docs, "docs")
+    before, at = shuffled(spark), []
+
+    def watched(some, *args, f=corpus_pipeline.passages.deduplicated, **more):
+        at.append(gone(spark, before))
+        return f(some, *args, **more)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline.passages, "deduplicated", watched)
+        out = corpus_pipeline.lines(spark, docs, "")
+    assert at == [True] and gone(spark, before)
+    assert sum(shared in r.text for r in out.collect()) == 1
+
+
+@pytest.mark.parametrize("own", [None, "true", "false"])
+def test_storing_leaves_the_sessions_settings(spark, own):
+    def now():
+        return spark.conf.get(kept.SWEEP, None)
+
+    if own:
+        spark.conf.set(kept.SWEEP, own)
+    try:
+        before = now()
+        kept.written(spark.range(3), "three")
+        assert now() == before
+        with pytest.raises(PySparkException):
+            kept.written(spark.range(3).select(F.raise_error(F.lit("no"))), "none")
+        assert now() == before and not kept._sweeping
+    finally:
+        spark.conf.unset(kept.SWEEP)
