@@ -6,9 +6,10 @@ the lengths of pieces by the length of the text, and two texts are compared as t
 
 Each digest goes to one cell in each of three parts of a table; a cell holds a count, the xor of its digests and the xor of
 their checksums. Tables of two versions are subtracted cell by cell; peeling takes a digest from each pure cell out of its
-other cells until nothing is left, and so recovers just the digests that differ. It starts with the tables that are the
-fingerprints; if peeling stops early, both texts are sketched again with four times the cells, and what SIZES sizes could not
-tell apart is compared digest by digest.
+other cells until nothing is left, and so recovers just the digests that differ. The tables that are the fingerprints are
+subtracted first: their counts say about how many digests differ, and so which size peeling starts with, these tables or larger
+ones; if peeling stops early, both texts are sketched again with four times the cells, and what SIZES sizes could not tell apart
+is compared digest by digest.
 
 The likeness of two texts is 1 - differing / all digests of both, with the digests that peeling recovered.
 
@@ -32,6 +33,8 @@ ENDS = "adensr"
 #: Cells of the smallest table; factor and number of sizes tried.
 CELLS, GROWTH, SIZES = 24, 4, 9
 PARTS, ROUNDS = 3, 60
+#: Cells for each digest that differs, by estimate, in the first size tried; with less than 1.22 peeling of a large table stops early.
+ROOM = 1.5
 _CELL = "struct<c:bigint,n:bigint,k:bigint,x:bigint>"
 _TABLE = f"array<{_CELL}>"
 
@@ -55,40 +58,84 @@ def digests(text: Column, at: Column) -> Column:
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
+def _let(value: Column, use) -> Column:
+    """As `bound`, without the copy of the result that `transform` makes."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
+
+
 def _check(k: Column) -> Column:
     return F.xxhash64(k, F.lit(99)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cells_of(k: Column, n: Column, cells: Column) -> Column:
-    """The entries of one digest: a cell in each part."""
-    part = (cells / PARTS).cast("bigint")
-    return F.array(*[F.struct((F.pmod(F.xxhash64(k, F.lit(j)), part) + part * j).alias("c"), n.cast("bigint").alias("n"), k.alias("k"), _check(k).alias("x")) for j in range(PARTS)])
+def _items(ks: Column, n: int) -> Column:
+    """Digests as they go into cells, n times each."""
+    return F.transform(ks, lambda k: F.struct(F.lit(-1).cast("bigint").alias("c"), F.lit(n).cast("bigint").alias("n"), k.alias("k"), _check(k).alias("x")))
+
+
+def _place(c: Column, i: Column) -> Column:
+    """A cell, and the place of what goes there, in one number; in order of cells."""
+    return F.shiftleft(c.cast("bigint"), 32) + i
+
+
+def _places(ks: Column, part: Column, before: Column) -> Column:
+    """A cell in each part for each digest; before: what stands before the digests."""
+    return F.flatten(F.transform(ks, lambda k, i: F.array(*[_place(F.pmod(F.xxhash64(k, F.lit(j)), part) + part * j, before + i) for j in range(PARTS)])))
+
+
+def _gathered(items: Column, places: Column) -> Column:
+    """The cells of those items, in order: counts added, the rest combined by xor; empty cells go."""
+
+    def at(p: Column) -> Column:
+        return p.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
+    def cell(s: Column, i: Column, end: Column) -> Column:
+        c, zero = F.shiftright(s[i], 32).alias("c"), F.lit(0).cast("bigint")
 
-def _gathered(entries: Column) -> Column:
-    """Entries of equal cell as one: counts added, the rest combined by xor; empty cells go."""
+        def summed(own: Column) -> Column:
+            n, k, x = F.aggregate(own, zero, lambda a, e: a + items[e]["n"]), F.aggregate(own, zero, lambda a, e: a.bitwiseXOR(items[e]["k"])), F.aggregate(own, zero, lambda a, e: a.bitwiseXOR(items[e]["x"]))
+            return F.struct(c, n.alias("n"), k.alias("k"), x.alias("x"))
 
-    def run(own: Column) -> Column:
-        zero = F.struct(own[0]["c"].alias("c"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("x"))
-        return F.aggregate(own, zero, lambda a, e: F.struct(a["c"].alias("c"), (a["n"] + e["n"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["x"].bitwiseXOR(e["x"]).alias("x")))
+        alone = _let(items[at(s[i])], lambda e: F.struct(c, e["n"].alias("n"), e["k"].alias("k"), e["x"].alias("x")))
+        return F.when(end - i == 1, alone).otherwise(_let(F.transform(F.sequence(i, end - 1), lambda j: at(s[j])), summed))  # `slice` would copy all of s
 
     def of(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i)["c"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["c"]))
-        runs = bound(starts, lambda b: F.transform(b, lambda i, j: bound(F.slice(s, i, F.coalesce(F.try_element_at(b, j + 2), F.size(s) + 1) - i), run)))
-        return F.filter(runs, lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["x"] != 0))
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.when(i == 0, True).otherwise(F.shiftright(s[i], 32) != F.shiftright(s[i - 1], 32)))
+        cells = _let(starts, lambda b: F.transform(b, lambda i, j: cell(s, i, F.coalesce(F.get(b, j + 1), F.size(s)))))
+        return F.filter(cells, lambda e: (e["n"] != 0) | (e["k"] != 0) | (e["x"] != 0))
 
-    return bound(F.sort_array(entries), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(s))
+    return _let(F.sort_array(places), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast(_TABLE)))
+
+
+def _part(cells: Column) -> Column:
+    return (cells / PARTS).cast("bigint")
 
 
 def sketch(ds: Column, cells: Column) -> Column:
     """The table of a set of digests."""
-    return _gathered(F.flatten(F.transform(ds, lambda k: _cells_of(k, F.lit(1), cells))))
+    return _let(_items(ds, 1), lambda items: _gathered(items, _let(_part(cells), lambda part: _places(ds, part, F.lit(0)))))
 
 
 def subtracted(a: Column, b: Column) -> Column:
     """Cell by cell, a minus b."""
     minus = F.transform(b, lambda e: F.struct(e["c"].alias("c"), (-e["n"]).alias("n"), e["k"].alias("k"), e["x"].alias("x")))
-    return _gathered(F.concat(a, minus))
+    return _let(F.concat(a, minus), lambda both: _gathered(both, F.transform(both, lambda e, i: _place(e["c"], i))))
+
+
+def apart(a: Column, b: Column, cells: Column) -> Column:
+    """What `subtracted` gives for the tables of two sets, which are sums of their digests' cells, without making both."""
+    items = F.concat(_items(a, 1), _items(b, -1))
+    return _let(items, lambda own: _gathered(own, _let(_part(cells), lambda part: F.concat(_places(a, part, F.lit(0)), _places(b, part, F.size(a))))))
+
+
+def estimate(table: Column, gap: Column) -> Column:
+    """About how many digests differ, from a subtracted table of CELLS cells and the gap between the sets' numbers.
+
+    In a part of p cells the squares of counts add up to d + (gap ** 2 - d) / p on average, as signs of two digests in one cell
+    meet at random but for the gap.
+    """
+    p = CELLS // PARTS
+    squares = F.aggregate(table, F.lit(0.0), lambda s, e: s + e["n"].cast("double") * e["n"]) / PARTS
+    return F.greatest((squares - gap.cast("double") * gap / p) / (1 - 1 / p), gap.cast("double"))
 
 
 def peeled(table: Column, cells: Column) -> Column:
@@ -98,53 +145,58 @@ def peeled(table: Column, cells: Column) -> Column:
     def state(t: Column, plus: Column, minus: Column, stuck: Column) -> Column:
         return F.struct(t.alias("rest"), plus.alias("added"), minus.alias("removed"), stuck.alias("stuck"))
 
-    def step(s: Column) -> Column:
+    def step(s: Column, part: Column) -> Column:
         pure = F.filter(s["rest"], lambda e: (F.abs(e["n"]) == 1) & (e["x"] == _check(e["k"])))
-        items = F.array_distinct(F.transform(pure, lambda e: F.struct(e["n"].alias("n"), e["k"].alias("k"))))
+
+        def of(own: Column, sign: int) -> Column:
+            return F.array_distinct(F.transform(F.filter(own, lambda e: e["n"] == sign), lambda e: e["k"]))
 
         def take(found: Column) -> Column:
-            out = F.flatten(F.transform(found, lambda e: _cells_of(e["k"], -e["n"], cells)))
-            plus = F.transform(F.filter(found, lambda e: e["n"] > 0), lambda e: e["k"])
-            minus = F.transform(F.filter(found, lambda e: e["n"] < 0), lambda e: e["k"])
-            return F.when(F.size(found) == 0, state(s["rest"], s["added"], s["removed"], F.lit(True))).otherwise(
-                state(_gathered(F.concat(s["rest"], out)), F.concat(s["added"], plus), F.concat(s["removed"], minus), F.lit(False))
+            plus, minus, rest = found["plus"], found["minus"], s["rest"]
+            items = F.concat(rest, _items(plus, -1), _items(minus, 1))
+            places = F.concat(F.transform(rest, lambda e, i: _place(e["c"], i)), _places(plus, part, F.size(rest)), _places(minus, part, F.size(rest) + F.size(plus)))
+            return F.when(F.size(plus) + F.size(minus) == 0, state(rest, s["added"], s["removed"], F.lit(True))).otherwise(
+                state(_let(items, lambda own: _gathered(own, places)), F.concat(s["added"], plus), F.concat(s["removed"], minus), F.lit(False))
             )
 
-        return bound(items, take)
+        return _let(_let(pure, lambda own: F.struct(of(own, 1).alias("plus"), of(own, -1).alias("minus"))), take)
 
     start = state(table, longs, longs, F.lit(False))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when((F.size(s["rest"]) == 0) | s["stuck"], s).otherwise(step(s)))
+    return _let(_part(cells), lambda part: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when((F.size(s["rest"]) == 0) | s["stuck"], s).otherwise(step(s, part))))
 
 
 def differing(a: Column, b: Column, first: Column | None = None, second: Column | None = None) -> Column:
     """Digests that are in one of two sets, as peeling recovers them: struct of added, removed and the number of cells it took
     (0 where no size was enough and the digests were compared).
 
-    first, second: the sets' smallest tables, if they are there. Cells grow on failure. Sizes that both sets' numbers alone rule out are passed over.
+    first, second: the sets' smallest tables, if they are there. Cells grow on failure. Sizes that both sets' numbers rule out, or
+    that hold less than ROOM cells for each digest that differs by the smallest tables' estimate, are passed over.
     """
     gap = F.abs(F.size(a) - F.size(b))
     none = F.lit(None).cast("struct<added:array<bigint>,removed:array<bigint>,cells:bigint>")
+    smallest_apart = apart(a, b, F.lit(CELLS).cast("bigint")) if first is None else subtracted(first, second)
 
-    def table(cells: Column) -> Column:
-        whole = subtracted(sketch(a, cells), sketch(b, cells))
-        return whole if first is None else F.when(cells == CELLS, subtracted(first, second)).otherwise(whole)
+    def of(least: Column) -> Column:
+        def tried(cells: Column) -> Column:
+            table = F.when(cells == CELLS, least["table"]).otherwise(apart(a, b, cells))
+            return _let(peeled(table, cells), lambda s: F.when(F.size(s["rest"]) == 0, F.struct(s["added"].alias("added"), s["removed"].alias("removed"), cells.alias("cells"))))
 
-    def tried(cells: Column) -> Column:
-        return bound(peeled(table(cells), cells), lambda s: F.when(F.size(s["rest"]) == 0, F.struct(s["added"].alias("added"), s["removed"].alias("removed"), cells.alias("cells"))))
+        def attempt(found: Column, i: Column) -> Column:
+            cells = (F.lit(CELLS) * F.pow(F.lit(GROWTH), i).cast("bigint")).cast("bigint")
+            return F.when(found.isNotNull() | (cells < gap) | ((cells < least["need"]) & (i < SIZES - 1)), found).otherwise(_let(cells, tried))
 
-    def attempt(found: Column, i: Column) -> Column:
-        cells = (F.lit(CELLS) * F.pow(F.lit(GROWTH), i).cast("bigint")).cast("bigint")
-        return F.when(found.isNotNull() | (cells < gap), found).otherwise(bound(cells, tried))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), none, attempt)
 
     whole = F.struct(F.array_except(a, b).alias("added"), F.array_except(b, a).alias("removed"), F.lit(0).cast("bigint").alias("cells"))
-    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(SIZES - 1)), none, attempt), whole)
+    need = _let(smallest_apart, lambda t: F.struct(t.alias("table"), (ROOM * estimate(t, gap)).alias("need")))
+    return F.coalesce(_let(need, of), whole)
 
 
 def likeness(a: Column, b: Column, first: Column | None = None, second: Column | None = None) -> Column:
     """1 - differing / all, of two sets of digests."""
     total = F.size(a) + F.size(b)
-    apart = bound(differing(a, b, first, second), lambda d: F.size(d["added"]) + F.size(d["removed"]))
-    return F.when(total == 0, F.lit(1.0)).otherwise(1 - apart / total)
+    number = bound(differing(a, b, first, second), lambda d: F.size(d["added"]) + F.size(d["removed"]))
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - number / total)
 
 
 def rendered(table: Column) -> Column:

@@ -42,6 +42,30 @@ def test_sketch_recovers_differences(spark):
         assert r.d.cells >= 24
 
 
+def test_sizes_that_would_fail_are_passed_over(spark):
+    """The first size tried holds what the smallest tables say that differs; its table is that of two sketches, subtracted."""
+    rng = random.Random(9)
+    rows = []
+    for n, m, k in [(0, 0, 0), (3, 0, 0), (0, 1, 0), (20, 2, 3), *[(10, 34, 34)] * 20, *[(0, 45, 45)] * 20, *[(30, 60, 5)] * 20]:
+        both, a, b = ([rng.randrange(-(2**62), 2**62) for _ in range(x)] for x in (n, m, k))
+        rows.append((both + a, b + both, m + k))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, m int")
+    sizes, (a, b) = [F.lit(c).cast("bigint") for c in (24, 96, 384)], (F.col("a"), F.col("b"))
+    tables = [fingerprints.subtracted(fingerprints.sketch(a, c), fingerprints.sketch(b, c)) for c in sizes]
+    first, second = fingerprints.smallest(a), fingerprints.smallest(b)
+    found = df.select("m", (F.size(a) - F.size(b)).alias("gap"), tables[0].alias("table"), *[fingerprints.differing(a, b, *own).alias(f"d{k}") for k, own in enumerate(((), (first, second)))])
+    by_hand, apart = {}, 0.0
+    for r in found.collect():
+        squares = sum(e.n * e.n for e in r.table) / 3
+        about = max((squares - r.gap**2 / 8) / (1 - 1 / 8), abs(r.gap))
+        assert r.d0 == r.d1 and len(r.d0.added) + len(r.d0.removed) == r.m and r.d0.cells >= 1.5 * about
+        by_hand[r.m] = [*by_hand.get(r.m, []), about]
+        apart += r.m == 0 and about
+    assert not apart and all(abs(sum(x) / len(x) - m) < 0.25 * m for m, x in by_hand.items() if len(x) > 9)
+    for r in df.select(*[F.struct(t.alias("two"), fingerprints.apart(a, b, c).alias("one")).alias(f"t{k}") for k, (t, c) in enumerate(zip(tables, sizes))]).collect():
+        assert all(t.one == t.two for t in r)
+
+
 def test_labels_of_components(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
